@@ -13,14 +13,14 @@ from textloom.sources.tables import write_operations
 
 
 @dataclass(frozen=True)
-class PipelineResult:
+class CatalogResult:
     clean: DataFrame
     n_raw: int
     n_services: int
     n_clean: int
 
 
-def run_pipeline(models: DataFrame, raw_path: str, clean_path: str) -> PipelineResult:
+def run_catalog_job(models: DataFrame, raw_path: str, clean_path: str) -> CatalogResult:
     """Write the raw records, then the clean ones computed from the raw table.
 
     The raw table also keeps the two order columns: which duplicate came first is otherwise lost.
@@ -33,7 +33,7 @@ def run_pipeline(models: DataFrame, raw_path: str, clean_path: str) -> PipelineR
     raw = spark.read.parquet(raw_path)
     write_operations(catalog.clean_operations(catalog.resolve_operations(raw)), clean_path)
     clean = spark.read.parquet(clean_path).select(*fixed.OPERATION_COLUMNS)
-    return PipelineResult(
+    return CatalogResult(
         clean=clean,
         n_raw=raw.count(),
         n_services=raw.agg(F.count_distinct("service")).first()[0],
