@@ -219,8 +219,8 @@ def matches(queries: str) -> str:
                          THEN round(list_cosine_similarity(q.v, s.v), 9) ELSE 0 END AS sim
              FROM {queries} q CROSS JOIN store s),
   best AS (SELECT *, row_number() OVER w AS rank FROM scored
-           QUALIFY row_number() OVER w <= {TOP_N}
-           WINDOW w AS (PARTITION BY request_id ORDER BY sim DESC, source, chunk_number))"""
+           WINDOW w AS (PARTITION BY request_id ORDER BY sim DESC, source, chunk_number)
+           QUALIFY row_number() OVER w <= {TOP_N})"""
 
 
 BENCHMARK = embedded("item_id AS request_id", "text", "benchmark", "asked")

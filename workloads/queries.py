@@ -320,14 +320,15 @@ def reject_blank_f5(spark, sf_dir):
 # --- predictions ----------------------------------------------------------------------------
 
 
+def occurrences(found: Column, words: tuple[str, ...]) -> Column:
+    return F.size(F.filter(found, lambda w: w.isin(*words)))
+
+
 def marker_predictions(text_column: str, top: int = fixed.TOP_PREDICTIONS) -> Column:
     """Language probabilities from marker words, add-one smoothed."""
 
     def shares(found: Column) -> Column:
-        counted = {
-            lang: F.size(F.filter(found, lambda w, words=words: w.isin(*words)))
-            for lang, words in MARKER_WORDS.items()
-        }
+        counted = {lang: occurrences(found, words) for lang, words in MARKER_WORDS.items()}
         total = sum(counted.values(), F.lit(len(counted)))
         return F.array(
             *(
