@@ -14,7 +14,7 @@ MARKER_WORDS = {
 # Substrings that route a request in the test tables, which hold none of the default ones.
 ROUTE_MARKERS = ("the ", " der ", "que ")
 
-ALLOW_LIST = ("NATION_7", "NATION_21", "NATION_3", "NATION_0")
+ALLOW_LIST = ("src7", "src12", "src3", "src0")
 
 DIMENSIONS = 64
 TOP_N = 5

@@ -285,9 +285,9 @@ ORACLES: dict[str, str] = {
         SELECT service, service_name, api_version, count(*)::INTEGER AS n_operations
         FROM ({PART_OPERATIONS}) GROUP BY ALL""",
     "allow_list_s2": f"""
-        SELECT n_name AS service, s_name AS operation,
-               (list_position({list(ALLOW_LIST)}, n_name) - 1)::INTEGER AS list_pos
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN {ALLOW_LIST}""",
+        SELECT source AS service, doc_id AS operation,
+               (list_position({list(ALLOW_LIST)}, source) - 1)::INTEGER AS list_pos
+        FROM documents WHERE source IN {ALLOW_LIST}""",
     "table_contract_s3": "SELECT * FROM part",
     "intent_csv_s4_p5": f"""
         SELECT {strip("'  ' || lang || ' '")} AS service,

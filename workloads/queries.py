@@ -102,10 +102,9 @@ def operations_per_service_a4(spark, sf_dir):
 
 @query
 def allow_list_s2(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("service"))
-    records = table(spark, sf_dir, "supplier").join(
-        nation, F.col("s_nationkey") == F.col("n_nationkey")
-    ).select("service", F.col("s_name").alias("operation"))
+    records = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("service"), F.col("doc_id").alias("operation")
+    )
     return models.select_services(records, ALLOW_LIST)
 
 
