@@ -35,7 +35,9 @@ def test_models_are_read_in_list_order(spark, tmp_path):
     assert rows[0].service_name == "Example Storage Service"
     assert rows[0].api_version == "2026-01-01"
     assert rows[0].description == "<p>Creates a bucket.</p>"
-    assert models.read_service_models(spark, folder).count() == 3
+    assert models.read_service_models(spark, folder, None).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        models.read_service_models(spark, folder).count()
 
 
 def test_empty_list_gives_nothing_and_missing_service_fails(spark, tmp_path):
@@ -157,6 +159,16 @@ def test_corpus_errors(spark, tmp_path):
         corpus.load_documents(spark, str(tmp_path / "empty"))
 
 
+def test_json_records_are_checked_one_by_one(spark):
+    full = {c: c for c in fixed.OPERATION_COLUMNS}
+    short = {"service": "s", "operation": None, "api_version": "1"}
+    good = spark.createDataFrame([(json.dumps({**full, "more": 1}),)], "record string")
+    assert [tuple(r) for r in tables.parse_records(good).collect()] == [fixed.OPERATION_COLUMNS]
+    bad = spark.createDataFrame([(json.dumps(full),), (json.dumps(short),)], "record string")
+    with pytest.raises(Exception, match=r"Missing required columns: \['description', 'service_name'\]"):
+        tables.parse_records(bad).collect()
+
+
 def test_confusion_sink_replaces_only_its_partitions(spark, tmp_path):
     path = str(tmp_path / "confusion")
 

@@ -57,6 +57,12 @@ def test_too_small_labels_are_errors(spark, sizes):
         split.stratified_split(labelled(spark, sizes), "id")
 
 
+def test_rows_without_label_are_not_lost_silently(spark):
+    rows = labelled(spark, {"a": 9}).union(labelled(spark, {"b": 3}).withColumn("label", F.lit(None)))
+    with pytest.raises(Exception, match="without a label"):
+        split.stratified_split(rows, "id")
+
+
 def test_weighted_union(spark):
     base, extra = labelled(spark, {"a": 2}), labelled(spark, {"b": 3})
     assert Counter(r.label for r in split.weighted_union(base, extra).collect()) == {"a": 2, "b": 9}

@@ -245,6 +245,8 @@ def fit_classifier(
     rows = training.select(id_col, "text", "label")
     class_weights = split.balanced_weights(rows).orderBy("label").collect()
     labels = tuple(r.label for r in class_weights)
+    if None in labels:
+        raise ValueError("Training rows need a label.")
     if len(labels) < 2:
         raise ValueError("A classifier needs at least two labels.")
     n_rows = sum(r.n for r in class_weights)

@@ -130,9 +130,14 @@ def stratified_split(
     in which the quota falls is ranked, 1/65,536 of the label's rows, so a label holding a large
     part of the data is never sorted in one task.
     """
-    keyed = df.withColumn("_place", place_key(id_col, seed)).withColumn(
-        "_bucket", F.substring("_place", 1, _BUCKET_DIGITS)
-    )
+    # A row without a label belongs to no stratum: better to fail than to lose it in a join.
+    no_label = F.raise_error(F.lit("Rows without a label cannot be split.")).cast("string")
+    keyed = df.withColumns(
+        {
+            "label": F.coalesce(F.col("label").cast("string"), no_label),
+            "_place": place_key(id_col, seed),
+        }
+    ).withColumn("_bucket", F.substring("_place", 1, _BUCKET_DIGITS))
     buckets = keyed.groupBy("label", "_bucket").agg(F.count("*").alias("_n"))
     quotas = label_quotas(buckets.groupBy("label").agg(F.sum("_n").alias("n")), test_share)
     below = F.coalesce(

@@ -69,14 +69,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the scratch folder as Parquet and read it back.
+def materialize(
+    df: DataFrame,
+    name: str,
+    *,
+    path: str | None = None,
+    partition_by: list[str] | None = None,
+) -> DataFrame:
+    """Write ``df`` as Parquet, by default to the scratch folder, and read it back.
 
     Cuts the lineage with a table in shared storage, so losing an executor later costs a re-read
     and not a re-computation.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -43,12 +43,12 @@ def source_name() -> Column:
 
 
 def read_service_models(
-    spark: SparkSession, folder: str, services: Sequence[str] | None = None
+    spark: SparkSession, folder: str, services: Sequence[str] | None = fixed.DEFAULT_SERVICES
 ) -> DataFrame:
-    """``service, metadata, operations, list_pos`` from the files ``<folder>/<service>.json``.
+    """Parsed models plus ``list_pos`` from the files ``<folder>/<service>.json``.
 
-    With ``services`` only the named files are listed and read, in the position order of the list,
-    and a name without a file fails at once; without it every JSON file is read.
+    Only the files of the listed services are opened, ``list_pos`` is the place in the list, and a
+    name without a file fails at once. ``None`` reads every JSON file of the folder.
     """
     if services is not None and not services:
         empty = spark.createDataFrame([], "service string, model string, list_pos int")

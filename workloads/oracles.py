@@ -289,6 +289,10 @@ ORACLES: dict[str, str] = {
                (list_position({list(ALLOW_LIST)}, source) - 1)::INTEGER AS list_pos
         FROM documents WHERE source IN {ALLOW_LIST}""",
     "table_contract_s3": "SELECT * FROM part",
+    "record_contract_f1": """
+        SELECT lower(p_type) AS service, p_brand AS service_name, p_size::VARCHAR AS api_version,
+               p_name || ' ' || p_partkey AS operation, '"' || p_name || '"' AS description
+        FROM part""",
     "intent_csv_s4_p5": f"""
         SELECT {strip("'  ' || lang || ' '")} AS service,
                md5({strip("text")}) AS description_md5 FROM documents""",

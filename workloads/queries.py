@@ -113,6 +113,20 @@ def table_contract_s3(spark, sf_dir):
     return tables.load_table(spark, f"{sf_dir}/part.parquet", ("p_partkey", "p_name", "p_type"))
 
 
+@query
+def record_contract_f1(spark, sf_dir):
+    record = F.struct(
+        F.lower("p_type").alias("service"),
+        F.col("p_brand").alias("service_name"),
+        F.col("p_size").cast("string").alias("api_version"),
+        F.concat_ws(" ", "p_name", "p_partkey").alias("operation"),
+        F.concat(F.lit('"'), "p_name", F.lit('"')).alias("description"),
+        "p_retailprice",
+    )
+    records = table(spark, sf_dir, "part").select(F.to_json(record).alias("record"))
+    return tables.parse_records(records)
+
+
 @query
 def intent_csv_s4_p5(spark, sf_dir):
     path = scratch_path(spark, "intents")
