@@ -32,17 +32,17 @@ def quoted(value: str) -> str:
 
 
 def entities(c: str) -> str:
-    """The references found in the tables; the ampersand last."""
+    """The references found in the tables, which also count unclosed; the ampersand last."""
     for name, character in (
-        ("&nbsp;", " "),
-        ("&copy;", "©"),
-        ("&middot;", "·"),
-        ("&quot;", '"'),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&amp;", "&"),
+        ("nbsp", "\u00a0"),
+        ("copy", "©"),
+        ("middot", "·"),
+        ("quot", '"'),
+        ("lt", "<"),
+        ("gt", ">"),
+        ("amp", "&"),
     ):
-        c = f"replace({c}, {quoted(name)}, {quoted(character)})"
+        c = f"regexp_replace({c}, '&{name};?', {quoted(character)}, 'g')"
     return c
 
 
@@ -452,8 +452,9 @@ ORACLES: dict[str, str] = {
                                                         lambda i: i::DOUBLE)), 6) AS checksum
         FROM store""",
     "custom_encoder_v1": """
-        SELECT conv_id, turn, round(a / n, 4) AS a, round(e / n, 4) AS e, round(i / n, 4) AS i,
-               round(o / n, 4) AS o, round(u / n, 4) AS u
+        SELECT conv_id, turn, round((a / n)::FLOAT::DOUBLE, 4) AS a,
+               round((e / n)::FLOAT::DOUBLE, 4) AS e, round((i / n)::FLOAT::DOUBLE, 4) AS i,
+               round((o / n)::FLOAT::DOUBLE, 4) AS o, round((u / n)::FLOAT::DOUBLE, 4) AS u
         FROM (SELECT *, CASE WHEN a+e+i+o+u > 0 THEN sqrt((a*a + e*e + i*i + o*o + u*u)::DOUBLE) ELSE 1 END AS n
               FROM (SELECT conv_id, turn,
                            length(text) - length(replace(text, 'a', '')) AS a,
