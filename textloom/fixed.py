@@ -87,6 +87,12 @@ RECOMMENDATION_MARKERS = (
 )
 EXIT_COMMANDS = ("exit", "quit")
 
+# Names of the training variants and of the two test sets in evaluation tables.
+BASE_ONLY = "pre_intents"
+WITH_EXTRA = "post_intents"
+BASE_TEST_SET = "botocore"
+EXTRA_TEST_SET = "intents"
+
 # Statuses of an answered request.
 REJECTED = "input_rejected"
 CLARIFICATION = "clarification_required"
