@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import simhash
+from textloom.llm import line_dedup, simhash
 from textloom.llm.common import read
 
 
@@ -14,11 +15,42 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    kept = line_dedup.dedup_lines(docs, counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op5_line_dedup,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(range(len(part))) AS pos, unnest(part) AS line
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS part FROM documents)
+        ), keyed AS (
+            SELECT doc_id, pos, line,
+                translate(
+                    trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
+                ) AS line_key
+            FROM lines
+        ), repeated AS (
+            SELECT line_key, max(doc_id) AS holder
+            FROM keyed WHERE length(line_key) >= 40
+            GROUP BY line_key HAVING count(DISTINCT doc_id) >= 5
+        ), marked AS (
+            SELECT k.doc_id, k.pos, k.line, r.holder IS NULL OR r.holder = k.doc_id AS stays
+            FROM keyed k LEFT JOIN repeated r USING (line_key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}
