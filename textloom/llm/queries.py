@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import line_dedup, simhash
+from textloom.llm import line_dedup, packing, simhash, tokens
 from textloom.llm.common import read
 
+END_ID = 2
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -21,11 +23,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Token pieces of the texts with their places in packed sequences."""
+    ids = docs.select("doc_id", tokens.token_ids(F.col("text"), end_id=END_ID).alias("ids"))
+    pieces = packing.cut(ids).withColumn("ids_crc32", packing.ids_crc32("ids")).drop("ids")
+    return packing.pack(pieces)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
         op5_line_dedup,
+        op6_best_fit_packing,
     )
 }
 
