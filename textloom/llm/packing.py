@@ -16,7 +16,9 @@ from pyspark.sql.functions import arrow_udf
 from textloom.llm.common import materialize
 
 CAPACITY = 1024
-OPEN_BINS = 128
+OPEN_BINS = 4096
+# Rows placed longest first; bounded by an Arrow batch.
+WINDOW = 4096
 TAILS_PER_TASK = 100_000
 # Sequence ids: task in the upper bits, the number of the bin in its task in the lower ones.
 _TASK_BITS = 36
@@ -118,11 +120,14 @@ def _packer(capacity: int, open_bins: int):
         packer, schema = BestFit(capacity, open_bins), None
         base = TaskContext.get().partitionId() << _TASK_BITS
         for batch in batches:
-            placed = [packer.add(x) for x in batch.column("__length").to_pylist()]
-            found = np.array(placed, np.int64).reshape(-1, 2)
+            lengths = batch.column("__length").to_numpy()
+            found = np.zeros((len(lengths), 2), np.int64)
+            for start in range(0, len(lengths), WINDOW):
+                for i in np.argsort(-lengths[start : start + WINDOW], kind="stable") + start:
+                    found[i] = packer.add(int(lengths[i]))
             schema = batch.schema
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found[:, 0] + base), pa.array(found[:, 1]), pa.array([False] * len(placed))],
+                [*batch.columns, pa.array(found[:, 0] + base), pa.array(found[:, 1]), pa.array([False] * len(lengths))],
                 names=[*schema.names, "__bin", "__at", "__open"],
             )
         tails = packer.still_open()
@@ -151,7 +156,8 @@ def pack(
     """``pieces`` with ``sequence_id`` and ``offset`` (long; columns of these names are replaced).
 
     Pieces of a sequence lie side by side from offset 0 and fill at most ``capacity``. Every task
-    packs the rows of its partition as they come, in constant memory. The bins that tasks leave open
+    packs the rows of its partition online in constant memory: windows of ``WINDOW`` rows as they
+    come, the longest of a window first. The bins that tasks leave open
     are then packed again, as items, so that many small partitions don't leave many half-empty
     sequences; only their ids and fill move. A null length counts as 0; a longer piece than
     ``capacity`` is an error. An empty table stays empty.
