@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import line_dedup, packing, simhash, tokens
+from textloom.llm import line_dedup, packing, pii, simhash, tokens
 from textloom.llm.common import read
 
 END_ID = 2
@@ -34,12 +34,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(read(spark, sf_dir, "documents"))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = read(spark, sf_dir, "documents").select("doc_id", pii.pseudonymise(F.col("text")).alias("x"))
+    return done.select("doc_id", "x.text", "x.n_values")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
         op5_line_dedup,
         op6_best_fit_packing,
+        op9_pii_pseudonyms,
     )
 }
 
