@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import line_dedup, packing, pii, simhash, tokens
+from textloom.llm import bpe_automaton, line_dedup, packing, pii, simhash, tokens
 from textloom.llm.common import read
 
 END_ID = 2
@@ -17,6 +18,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = read(spark, sf_dir, "documents").select("doc_id", bpe_automaton.encode(F.col("text"), path).alias("ids"))
+    texts = docs.withColumn("decoded", bpe_automaton.decode(F.col("ids"), path))
+    return texts.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     kept = line_dedup.dedup_lines(docs, counts=("n_lines", "n_dropped"))
@@ -43,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op3_bpe_automaton,
         op5_line_dedup,
         op6_best_fit_packing,
         op9_pii_pseudonyms,
