@@ -114,6 +114,8 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_do
     )
     found = materialize(found.select("doc_id", "h.*"), "line-hashes")
     frequent = found.groupBy(*_KEY).count().where(F.col("count") >= min_documents).select(*_KEY)
+    # Written, so that the join below reads both sides anew and a very common line can be split.
+    frequent = materialize(frequent, "frequent-lines")
     found = materialize(found.join(frequent, _KEY), "repeated-lines")
     shares = [F.lit(i / batches) for i in range(batches - 1, 0, -1)]
     limits = found.agg(F.percentile_approx("doc_id", F.array(*shares)).alias("x")).first()["x"] if shares else []
