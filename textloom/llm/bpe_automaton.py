@@ -17,9 +17,12 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,16 +35,19 @@ from textloom.llm.tokens import byte_symbols
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CHUNKS = regex.compile(f"[^{_SPACE}]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-CACHED_WORDS = 500_000
-CACHED_ARCS = 2_000_000
+CACHED_WORDS = 150_000
+CACHED_ARCS = 500_000
+# Stands for the end-of-word suffix within words.
+END = "\0"
+# Documents decoded at once.
+_SLICE = 500
 
 
 class MergeAutomaton:
     """Token automaton of an ordered list of merges over a vocabulary."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end_of_word: str = ""):
-        self.vocab, self.end_of_word = vocab, end_of_word
-        self.longest = max((len(t.removesuffix(end_of_word)) for t in vocab), default=0)
+        self.end = END if end_of_word else ""
         self.merge_rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: (rank of its merge, left, right)
         for rank, (left, right) in enumerate(merges):
@@ -49,12 +55,15 @@ class MergeAutomaton:
             self.merge_rank.setdefault((a, b), rank)
             self.parts.setdefault(c, (rank, a, b))
         self.arcs: dict[int, bool] = {}
-        # Token of a string that is one, -1 for other beginnings of tokens.
-        self.prefixes: dict[str, int] = {}
-        for token in vocab:
-            for end in range(1, len(token)):
-                self.prefixes.setdefault(token[:end], -1)
-        self.prefixes.update(vocab)
+        # Finds every token that occurs in a word, by end.
+        self.matches = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.length = [0] * (max(vocab.values(), default=-1) + 1)
+        for token, i in vocab.items():
+            whole = token.removesuffix(end_of_word) + self.end if end_of_word and token.endswith(end_of_word) else token
+            self.matches.add_word(whole, i)
+            self.length[i] = len(whole)
+        if vocab:
+            self.matches.make_automaton()
 
     def _compile_arc(self, state: int, token: int) -> bool:
         """Whether the state behind ``state`` ends up with an arc for ``token``."""
@@ -86,42 +95,40 @@ class MergeAutomaton:
     def encode(self, word: str) -> list[int]:
         """Labels of the one path through the automaton that spells ``word``.
 
-        Every prefix of the word has one path at most, so the state behind each is found from left to
-        right. Symbols outside of the vocabulary are left out, as if they were not there.
+        Every beginning of the word has one path at most, so the state behind each is found from left
+        to right, by the transition table. Symbols outside of the vocabulary are left out, as if they
+        were not there.
         """
-        size, prefixes, arcs, arc = len(word), self.prefixes, self.arcs, self.arc
-        state, origin = [-1] * (size + 1), [0] * (size + 1)
-        for start in range(size):
-            here = state[start]
-            if start and here < 0:
+        if not word:
+            return []
+        text = word + self.end
+        size, length, arcs = len(text), self.length, self.arcs
+        state = [-1] * (size + 1)
+        for last, token in self.matches.iter(text):
+            end = last + 1
+            if state[end] >= 0:
                 continue
-            for end in range(start + 1, size):
-                token = prefixes.get(word[start:end])
-                if token is None:
-                    break
-                if token < 0 or state[end] >= 0:
+            if start := end - length[token]:
+                here = state[start]
+                if here < 0:
                     continue
-                if start:
-                    allowed = arcs.get(here << 32 | token)
-                    if not (arc(here, token) if allowed is None else allowed):
-                        continue
-                state[end], origin[end] = token, start
-            if state[size] < 0 and size - start <= self.longest:
-                token = self.vocab.get(word[start:] + self.end_of_word)
-                if token is not None and (not start or arc(here, token)):
-                    state[size], origin[size] = token, start
-        if size and state[size] < 0:
-            known = [c for i, c in enumerate(word) if c + (self.end_of_word if i == size - 1 else "") in self.vocab]
-            return self.encode("".join(known)) if len(known) < size else []
-        out, at = [], size
-        while at:
-            out.append(state[at])
-            at = origin[at]
-        return out[::-1]
+                allowed = arcs.get(here << 32 | token)
+                if not (self.arc(here, token) if allowed is None else allowed):
+                    continue
+            state[end] = token
+        if state[size] < 0:
+            known = [c for c in word[:-1] if c in self.matches]
+            known += [c for c in word[-1:] if c + self.end in self.matches]
+            return self.encode("".join(known)) if len(known) < len(word) else []
+        path = []
+        while size:
+            path.append(state[size])
+            size -= length[path[-1]]
+        return path[::-1]
 
 
 class WordTokenizer:
-    """Encoder and decoder of a tokenizers JSON file with this normal form: NFC, white space runs to a
+    """Encoder of a tokenizers JSON file with this normal form: NFC, white space runs to a
     space, lower case; words by a pattern; byte symbols; BPE; no decoder."""
 
     def __init__(self, path: str):
@@ -137,29 +144,37 @@ class WordTokenizer:
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACE))
         self.special = {x["content"]: np.int32(x["id"]).tobytes() for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        names = {i: t for t, i in model["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
-        self.labels = [names.get(i) for i in range(max(names) + 1)]
         self.symbol = {b: c for c, b in byte_symbols().items()}
+        # Ids by word and by chunk between spaces. A full cache becomes the old one, from which what
+        # is still in use comes back.
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
             if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            ids = self.automaton.encode("".join(map(self.symbol.__getitem__, word.encode())))
-            found = self.words[word] = np.array(ids, np.int32).tobytes()
+                self.words, self.old_words = {}, self.words
+            found = self.old_words.get(word)
+            if found is None:
+                ids = self.automaton.encode("".join(map(self.symbol.__getitem__, word.encode())))
+                found = pack(f"{len(ids)}i", *ids)
+            self.words[word] = found
         return found
 
     def _chunk(self, chunk: str) -> bytes:
         if len(self.chunks) >= CACHED_WORDS:
-            self.chunks.clear()
-        if chunk.isascii():
-            lower = chunk.lower()
-        else:  # lower case goes by code point: no final sigma
-            lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        found = self.chunks[chunk] = b"".join(map(self._word, self.pattern.findall(lower)))
+            self.chunks, self.old_chunks = {}, self.chunks
+        found = self.old_chunks.get(chunk)
+        if found is None:
+            if chunk.isascii():
+                lower = chunk.lower()
+            else:  # lower case goes by code point: no final sigma
+                lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            found = b"".join(map(self._word, self.pattern.findall(lower)))
+        self.chunks[chunk] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -170,23 +185,37 @@ class WordTokenizer:
                 parts.append(self.special[segment])
                 continue
             chunks = segment.split() if not _SEPARATORS.search(segment) else _CHUNKS.findall(segment)
-            known = self.chunks
             for chunk in chunks:
-                ids = known.get(chunk)
+                ids = self.chunks.get(chunk)
                 parts.append(self._chunk(chunk) if ids is None else ids)
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """Labels of the ids, joined by a space; unknown ids emit nothing."""
-        labels = self.labels
-        return " ".join([labels[i] for i in ids if 0 <= i < len(labels) and labels[i] is not None])
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+@lru_cache(maxsize=2)
+def labels(path: str) -> pa.Array:
+    """Arc label of every id of a tokenizers JSON file; null where there is none."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    names = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+    return pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+
+
+def emit(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    """Labels of every list of ids, joined by a space; unknown ids emit nothing."""
+    values, ends = ids.values[ids.offsets[0].as_py() : ids.offsets[-1].as_py()], ids.offsets.to_numpy()
+    numbers = pc.fill_null(values, -1).to_numpy(zero_copy_only=False)
+    known = (numbers >= 0) & (numbers < len(names))
+    known[known] = names.is_valid().to_numpy(zero_copy_only=False)[numbers[known]]
+    ends = np.concatenate([[0], np.cumsum(known)])[ends - ends[0]]
+    words = names.take(pa.array(numbers[known]))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words), " ")
+
+
 def encode(text: Column, path: str) -> Column:
     """Ids of the whole text, array<int>; a null or empty text has none. Strings of the file's added
     tokens are these tokens; nothing is added, cut or padded."""
@@ -209,8 +238,9 @@ def decode(ids: Column, path: str) -> Column:
 
     @arrow_udf(T.StringType())
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = tokenizer(path)
+        names = labels(path)
         for batch in batches:
-            yield pa.array([machine.decode(x.as_py() or []) for x in batch], pa.string())
+            parts = [emit(batch.slice(i, _SLICE), names) for i in range(0, len(batch), _SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    return compute.asNondeterministic()(ids)
+    return compute.asNondeterministic()(F.coalesce(ids, F.array().cast("array<int>")))
