@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_automaton, line_dedup, packing, pii, simhash, tokens
+from textloom.llm import bpe_automaton, line_dedup, packing, pii, simhash, tokens, toxicity
 from textloom.llm.common import read
 
 END_ID = 2
@@ -52,6 +52,16 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "x.text", "x.n_values")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = toxicity.fit(docs, labels.where(part != 2))
+    scored = docs.select(
+        "doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), model.score(F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_line_dedup,
         op6_best_fit_packing,
         op9_pii_pseudonyms,
+        op10_toxicity,
     )
 }
 
