@@ -29,18 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from textloom.llm.common import slices
 from textloom.llm.tokens import byte_symbols
 
 # White_Space code points; str.split() and \s also take the separators U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CHUNKS = regex.compile(f"[^{_SPACE}]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 CACHED_ARCS = 500_000
 # Stands for the end-of-word suffix within words.
 END = "\0"
-# Documents decoded at once.
-_SLICE = 500
 
 
 class MergeAutomaton:
@@ -223,7 +222,7 @@ def encode(text: Column, path: str) -> Column:
     @arrow_udf(T.ArrayType(T.IntegerType()))
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [machine.encode(x.as_py()) for x in batch]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -239,8 +238,7 @@ def decode(ids: Column, path: str) -> Column:
     @arrow_udf(T.StringType())
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = labels(path)
-        for batch in batches:
-            parts = [emit(batch.slice(i, _SLICE), names) for i in range(0, len(batch), _SLICE)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        for batch in slices(batches):
+            yield emit(batch, names)
 
     return compute.asNondeterministic()(F.coalesce(ids, F.array().cast("array<int>")))

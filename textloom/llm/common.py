@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.session import materialize, scratch_path
 
-__all__ = ["bytes_of", "materialize", "read", "scratch_path", "unicode_offsets"]
+__all__ = ["bytes_of", "materialize", "read", "scratch_path", "slices", "unicode_offsets"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +23,14 @@ def bytes_of(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def slices(batches: Iterator[pa.Array], rows: int = 1000) -> Iterator[pa.Array]:
+    """The batches of an Arrow function in smaller parts, so that whole texts and what is made of
+    them stay small in memory."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def unicode_offsets(data: bytes, positions: list[int]) -> list[int]:
     """Code-point offsets of ascending byte positions in UTF-8 ``data``."""
     if data.isascii():

@@ -19,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from textloom.llm.common import slices
+
 ROUNDS = 8
 DEFAULT_KEY = b"textloom pseudonyms"
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -247,7 +249,7 @@ def pseudonymise(text: Column, key: bytes = DEFAULT_KEY) -> Column:
 
     @arrow_udf(T.StructType(fields))
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             done = [(None, 0) if x is None else replace(x, key) for x in batch.to_pylist()]
             texts = pa.array([x for x, _ in done], pa.binary()).cast(pa.string())
             yield pa.StructArray.from_arrays([texts, pa.array([n for _, n in done], pa.int64())], ["text", "n_values"])

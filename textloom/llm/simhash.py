@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from textloom.llm.common import bytes_of, materialize
+from textloom.llm.common import bytes_of, materialize, slices
 from textloom.llm.components import connected_components
 
 MAX_DISTANCE = 2
@@ -65,7 +65,7 @@ def fingerprint(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
 
     @arrow_udf("long")
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint_of(x.as_py(), shingle_words) for x in batch]
             yield pa.array(np.array(found, np.uint64).view(np.int64))
 
@@ -126,7 +126,7 @@ def golay_keys(fingerprints: np.ndarray) -> np.ndarray:
 
 @arrow_udf(T.ArrayType(T.LongType()))
 def _keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for batch in slices(batches):
         keys = golay_keys(batch.to_numpy(zero_copy_only=False))
         ends = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
         yield pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))

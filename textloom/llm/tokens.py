@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from textloom.llm.common import bytes_of
+from textloom.llm.common import bytes_of, slices
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -53,7 +53,7 @@ def token_ids(text: Column, path: str | None = None, end_id: int | None = None)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = byte_bpe(path)
         tail = np.array([] if end_id is None else [end_id], np.int32)
-        for batch in batches:
+        for batch in slices(batches):
             ids = []
             for text in batch:
                 ids += [bpe.encode_to_numpy(text.as_py().decode("utf-8", "replace"), allowed_special="all"), tail]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from textloom.llm.common import materialize
+from textloom.llm.common import materialize, slices
 
 ORDERS = (3, 4, 5)
 HASH_BITS = 20
@@ -71,7 +71,7 @@ class ToxicityModel:
         @arrow_udf("double")
         def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             table = model.places()
-            for batch in batches:
+            for batch in slices(batches):
                 sums = [model.weights[present(x.as_py(), table)].sum() for x in batch]
                 yield pa.array(_sigmoid(model.bias + np.array(sums, np.float64)), pa.float64())
 
@@ -158,7 +158,7 @@ def fit(
     @arrow_udf(T.ArrayType(T.IntegerType()))
     def seen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = model.places()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([present(x.as_py(), table) for x in batch], pa.list_(pa.int32()))
 
     examples = sample.select(seen.asNondeterministic()("text").alias("seen"), "label").toArrow()
