@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_automaton, line_dedup, packing, pii, simhash, tokens, toxicity
+from textloom.llm import bpe_automaton, line_dedup, packing, pii, quality, simhash, tokens, toxicity
 from textloom.llm.common import read
 
 END_ID = 2
@@ -47,6 +47,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", quality.quality(F.col("text")).alias("x"))
+    return docs.select("doc_id", "x.*")
+
+
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = read(spark, sf_dir, "documents").select("doc_id", pii.pseudonymise(F.col("text")).alias("x"))
     return done.select("doc_id", "x.text", "x.n_values")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_bpe_automaton,
         op5_line_dedup,
         op6_best_fit_packing,
+        op7_quality_rules,
         op9_pii_pseudonyms,
         op10_toxicity,
     )
