@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_automaton, line_dedup, packing, pii, quality, simhash, tokens, toxicity
+from textloom.llm import bpe_automaton, line_dedup, packing, pii, quality, secrets, simhash, tokens, toxicity
 from textloom.llm.common import read
 
 END_ID = 2
@@ -52,6 +52,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "x.*")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = secrets.fit(docs)
+    found = docs.select("doc_id", secrets.secret_spans(F.col("text"), model).alias("found"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("found", lambda x: x["kind"] != "crf")
+    return found.select(
+        "doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"),
+    )
+
+
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = read(spark, sf_dir, "documents").select("doc_id", pii.pseudonymise(F.col("text")).alias("x"))
     return done.select("doc_id", "x.text", "x.n_values")
@@ -75,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_line_dedup,
         op6_best_fit_packing,
         op7_quality_rules,
+        op8_secret_scan,
         op9_pii_pseudonyms,
         op10_toxicity,
     )
