@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_automaton, line_dedup, packing, pii, quality, secrets, simhash, tokens, toxicity
+from textloom.functions.html import clean_html
+from textloom.llm import bpe_automaton, language, line_dedup, packing, pii, quality, secrets, simhash, tokens, toxicity
 from textloom.llm.common import read
 
 END_ID = 2
@@ -30,6 +31,30 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with their language; the source is the host, ``lang`` the declared language."""
+    model = language.fit_text(docs)
+    return language.identify(docs, model, text=F.col("text"), declared=F.col("lang"), host=F.col("source"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(read(spark, sf_dir, "documents")).select("doc_id", "language.*")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on raw pages: visible text, markup language, address."""
+    model = language.fit_text(read(spark, sf_dir, "documents"))
+    pages = read(spark, sf_dir, "pages").withColumn("visible", clean_html("html"))
+    found = language.identify(
+        pages,
+        model,
+        text=F.col("visible"),
+        declared=F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1),
+        host=F.try_parse_url("url", F.lit("HOST")),
+    )
+    return found.select("page_id", "language.*")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     kept = line_dedup.dedup_lines(docs, counts=("n_lines", "n_dropped"))
@@ -90,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_near_dedup,
         op3_bpe_automaton,
+        op4_language_id,
+        language_id_pages,
         op5_line_dedup,
         op6_best_fit_packing,
         op7_quality_rules,
