@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.html import clean_html
-from textloom.llm import bpe_automaton, language, line_dedup, packing, pii, quality, secrets, simhash, tokens, toxicity
+from textloom.llm import bpe_automaton, language, line_dedup, nn_graph, packing, pii, quality, secrets, simhash, tokens, toxicity
 from textloom.llm.common import read
 
 END_ID = 2
@@ -19,6 +19,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    graph = nn_graph.build(vectors)
+    queries = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("id"))
+    return nn_graph.search(graph, queries).withColumnRenamed("id", "vec_id")
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", bpe_automaton.encode(F.col("text"), path).alias("ids"))
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_nn_descent,
         op3_bpe_automaton,
         op4_language_id,
         language_id_pages,
