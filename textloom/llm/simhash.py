@@ -17,7 +17,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -189,3 +189,18 @@ def near_duplicates(
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the smallest id.
+
+    Rows that share an id are one document, of which one row stays. Rows with a null id can't be told
+    apart from copies of other rows; all of them stay. All columns pass through.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    found = near_duplicates(named, id_col=id_col, text_col=text_col)
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
+    kept = named.join(stay, F.col(id_col) == F.col("__stay"), "left_semi")
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    kept = kept.withColumn("__place", place).where("__place = 1").drop("__place")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
