@@ -15,7 +15,7 @@ from pyspark.sql.functions import arrow_udf
 
 from textloom.llm.common import materialize, slices
 
-# At most so many labelled texts of a language, the first by hash, fit the text model; of the labels
+# At most so many different labelled texts of a language, chosen by hash, fit the text model; of the labels
 # at most so many, the most frequent, are languages.
 MAX_TEXTS, MAX_LANGUAGES = 500, 32
 HASH_BITS = 16
@@ -94,10 +94,19 @@ def fit_text(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """Trigram model of the languages in ``lang_col``; rows with a null text or label don't count."""
     texts = docs.select(F.col(text_col).alias("text"), F.lower(lang_col).alias("lang")).dropna()
     ranked = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = tuple(sorted(r["lang"] for r in ranked.collect()))
-    hashed = texts.where(F.col("lang").isin(*languages)).withColumn("h", F.xxhash64("text"))
+    found = ranked.collect()
+    languages = tuple(sorted(r["lang"] for r in found))
+    # First a generous share by hash, so that what is ranked stays small whatever the input's size.
+    many = {r["lang"]: r["count"] for r in found}
+    share = F.lit(0.0)
+    for lang, n in many.items():
+        share = F.when(F.col("lang") == lang, min(1.0, 8 * max_texts / n)).otherwise(share)
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    chosen = hashed.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    sample = hashed.withColumn("place", place).where(F.col("place") <= max_texts)
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= max_texts).select("lang", "h")
+    # At most max_texts for each of MAX_LANGUAGES.
+    sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     counted = sample.select("text", "lang").mapInArrow(_count, "lang string, feature long, n long")
     rows = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((1 << HASH_BITS, len(languages)), SMOOTHING)

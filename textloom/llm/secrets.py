@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from textloom.llm.common import bytes_of, slices, unicode_offsets
+from textloom.llm.common import bytes_of, materialize, slices, unicode_offsets
 
 KINDS = ("assign", "access", "hex", "crf")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
@@ -302,9 +302,13 @@ def fit(docs: DataFrame, *, text_col: str = "text", max_training: int = MAX_TRAI
     the first of each by the hash of the text. An empty table gives a field that tags nothing."""
     text = F.col(text_col)
     likely = text.rlike(rf"(?i)password|passwd|secret|token|api_?key|[0-9a-f]{{{MIN_HEX},}}") | text.contains("AKIA")
-    hashed = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("h"), bytes_of(text).alias("data"), likely.alias("likely"))
-    parts = [hashed.where(F.col("likely") == x).orderBy("h").limit(max_training) for x in (True, False)]
-    return train([r["data"] for part in parts for r in part.select("data").toLocalIterator()])
+    hashed = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("h"), bytes_of(text).alias("data"))
+    marked = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("h"), likely.alias("likely"))
+    parts = [marked.where(F.col("likely") == x).select("h").distinct().orderBy("h").limit(max_training) for x in (True, False)]
+    # Hashes only are ranked; their texts, at most 2 * max_training, are fetched afterwards.
+    chosen = materialize(parts[0].unionAll(parts[1]), "secret-training")
+    sample = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("data").alias("data")).orderBy("h")
+    return train([r["data"] for r in sample.toLocalIterator()])
 
 
 _SPAN = T.StructType(
