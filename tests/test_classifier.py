@@ -108,9 +108,15 @@ def test_save_and_load(spark, model, tmp_path):
         assert np.allclose(*([p.probability for p in x] for x in (predictions, after[key])))
 
 
-def test_guard_on_the_number_of_coefficients(spark):
-    with pytest.raises(ValueError, match="max_coefficients"):
-        classifier.fit_classifier(frame(spark, ROWS), "id", max_coefficients=10)
+def test_bound_on_labelled_rows_is_kept_and_reported(spark):
+    rows = [(i, f"{'storage' if i % 2 else 'compute'} words {i}", f"l{i % 2}") for i in range(60)]
+    table = spark.createDataFrame(rows, "id int, text string, label string")
+    model = classifier.fit_classifier(table, "id", max_rows=20)
+    assert model.n_rows == 20 and model.labels == ("l0", "l1")
+    assert classifier.fit_classifier(table, "id").n_rows == 60
+
+
+def test_labels_are_required(spark):
     with pytest.raises(ValueError, match="two labels"):
         classifier.fit_classifier(frame(spark, ROWS[:2]), "id")
 

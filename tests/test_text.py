@@ -132,3 +132,25 @@ def test_contains_any_is_a_plain_substring_test(spark):
 
 def test_let_evaluates_the_body_on_the_value(spark):
     assert spark.range(1).select(text.let(F.lit(3), lambda x: x * x)).first()[0] == 9
+
+
+def test_attributes_equal_a_parser(spark):
+    """Random attributes, quotes inside unquoted values among them."""
+    rnd = random.Random(7)
+    names = ["href", "a", "data-x", "it's", 'q"q']
+    values = ["", "=v", "=it's", '=a"b', '="x > y"', "='p > q'", "=a/b", '="it\'s"', "=\u00e9", " = w"]
+    sources = []
+    for _ in range(400):
+        attributes = "".join(
+            rnd.choice([" ", "\n", "  "]) + rnd.choice(names) + rnd.choice(values) for _ in range(rnd.randrange(4))
+        )
+        sources.append(f"<p{attributes}>don't stop</p> now <b{attributes} >x</b>y")
+    sources += ["<a href=it's>don't stop</a> now", "<a href=it's>stop</a> now", '<p title=a"b>x</p> y']
+    df = spark.createDataFrame([(s,) for s in sources], "c string")
+    for row in df.select("c", html.strip_markup("c").alias("d")).collect():
+        data = []
+        parser = HTMLParser()
+        parser.handle_data = data.append
+        parser.feed(row.c)
+        parser.close()
+        assert "".join(row.d.split()) == "".join("".join(data).split()), row.c

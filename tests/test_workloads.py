@@ -8,11 +8,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from workloads.compare import rows_of
+from workloads.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-# Trained end to end in test_classifier.py; too slow to repeat here.
-TRAINED = {"training_experiment_m10", "evaluation_sink_s9"}
-NAMES = [n for n in entry_points.queries() if n not in TRAINED]
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")

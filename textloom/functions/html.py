@@ -23,15 +23,18 @@ FREQUENT_NAMES = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "copy;", "middot;", "a
 # Elements whose text is not part of the document text.
 SILENT_ELEMENTS = "script|style|template|rt|rp"
 
-# Attributes: quoted values may hold ">". Possessive, so that Java neither backtracks nor recurses.
-_ATTRIBUTES = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
+# Attributes: a name, then perhaps "=" and a value. Only a quote straight after "=" opens a quoted
+# value, which may hold ">". A leading "=" belongs to the name. Possessive, so that Java neither
+# backtracks nor recurses.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)"""
+_ATTRIBUTES = rf"""(?:[\s/]++|(?:(?<=[\s/"'])=)?+[^\s/>=]++(?>\s*+=\s*+{_VALUE}|(?!\s*+=)))*+"""
 
 # Comments, silent elements and tags in one left-to-right pass: a comment opener inside a script,
 # or a tag inside a comment, must not be seen on its own.
 MARKUP = (
     r"(?is)<!--.*?(?:--!?>|\z)"
     rf"|<({SILENT_ELEMENTS})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
-    rf"|<[/!?]?[a-z]{_ATTRIBUTES}>"
+    rf"|<[/!?]?[a-z][^\s/>]*+{_ATTRIBUTES}>"
 )
 
 SPACE_BEFORE_PUNCTUATION = r" ([.,!?;:])"

@@ -21,8 +21,10 @@ from textloom.functions.text import is_blank, normalise_query
 from textloom.operators import features, split
 from textloom.session import materialize, scratch_path
 
-# Spark ML keeps (classes x terms) coefficients and some twenty vectors of that size on the driver.
-MAX_COEFFICIENTS = 50_000_000
+# A fit uses at most so many labelled rows, the same share of every label, chosen by the hash order
+# of the stratified split. Spark ML keeps (labels x merged terms) coefficients on the driver, and the
+# number of merged terms follows the number of rows.
+MAX_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -30,18 +32,19 @@ class TextClassifier:
     """Fitted classifier; ``terms`` holds ``term, idf, frequent, coefficients``.
 
     ``coefficients`` has one number per label (one in all for two labels), ``intercepts`` likewise.
+    ``n_rows`` is the number of labelled rows that the fit used.
     """
 
     terms: DataFrame
     labels: tuple[str, ...]
     intercepts: tuple[float, ...]
+    n_rows: int = 0
 
     def margins(self, texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
         """``id, margins``: the linear scores of texts with at least one known term."""
         found = features.lookup_terms(
             features.document_terms(texts, id_col, text_col),
             self.terms,
-            id_col,
             ("idf", "coefficients"),
         ).withColumn("raw", features.sublinear("tf") * F.col("idf"))
         scores = range(len(self.intercepts))
@@ -96,7 +99,9 @@ class TextClassifier:
         """Write the whole model: the term table and a small table of labels and intercepts."""
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         spark = self.terms.sparkSession
-        head = json.dumps({"labels": self.labels, "intercepts": self.intercepts})
+        head = json.dumps(
+            {"labels": self.labels, "intercepts": self.intercepts, "n_rows": self.n_rows}
+        )
         spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/head"
         )
@@ -105,7 +110,10 @@ class TextClassifier:
     def load(cls, spark: SparkSession, path: str) -> TextClassifier:
         head = json.loads(spark.read.text(f"{path}/head").first().value)
         return cls(
-            spark.read.parquet(f"{path}/terms"), tuple(head["labels"]), tuple(head["intercepts"])
+            spark.read.parquet(f"{path}/terms"),
+            tuple(head["labels"]),
+            tuple(head["intercepts"]),
+            head.get("n_rows", 0),
         )
 
 
@@ -234,15 +242,22 @@ def fit_classifier(
     training: DataFrame,
     id_col: str,
     max_iter: int = fixed.MAX_ITERATIONS,
-    max_coefficients: int = MAX_COEFFICIENTS,
+    max_rows: int = MAX_ROWS,
 ) -> TextClassifier:
     """Fit on ``text, label`` rows with a unique ``id_col``.
 
+    Of more than ``max_rows`` rows the same share of each label is used, by hash order; the model
+    reports how many. Class weights are those of the rows used.
     The vocabulary, the features and the fitted terms are written tables, so iterations re-read
     rather than re-compute. The regularisation equals a unit inverse strength on the summed loss.
     """
     spark = training.sparkSession
     rows = training.select(id_col, "text", "label")
+    total = rows.count()
+    if total > max_rows:
+        rows = materialize(
+            split.stratified_split(rows, id_col, test_share=max_rows / total).test, "training-rows"
+        )
     class_weights = split.balanced_weights(rows).orderBy("label").collect()
     labels = tuple(r.label for r in class_weights)
     if None in labels:
@@ -262,20 +277,18 @@ def fit_classifier(
     )
     n_features = groups.count()
     n_scores = 1 if len(labels) == 2 else len(labels)
-    if n_features * n_scores > max_coefficients:
-        raise ValueError(
-            f"{n_features} merged terms x {n_scores} scores exceed max_coefficients="
-            f"{max_coefficients}; raise it together with the driver memory."
-        )
+    # Both lookups carry an array of scores or three numbers a term.
+    term_bytes = features.TERM_BYTES + 8 * n_scores
     groups = materialize(add_index(groups), "term-index")
 
     representatives = features.with_weights(
         groups.select(F.col("representative").alias("term"), "df", "idx", "n_terms"),
         n_rows,
         n_postings,
+        term_bytes,
     )
     found = features.lookup_terms(
-        postings, representatives, id_col, ("idx", "idf", "n_terms")
+        postings, representatives, ("idx", "idf", "n_terms"), written=True
     ).withColumn("raw", features.sublinear("tf") * F.col("idf") * F.sqrt("n_terms"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(id_col)))
     weighted = found.select(id_col, "idx", (F.col("raw") / length).alias("weight"))
@@ -298,7 +311,7 @@ def fit_classifier(
         weightCol="class_weight",
         family="auto",
         maxIter=max_iter,
-        tol=1e-6,
+        tol=1e-5,
         regParam=1.0 / n_rows,
         elasticNetParam=0.0,
         standardization=False,
@@ -316,9 +329,13 @@ def fit_classifier(
             F.transform("coefficients", lambda b: b / F.sqrt("n_terms")).alias("coefficients"),
         )
     )
-    terms = features.with_weights(signed, n_rows, n_postings).join(per_term, ["df", "s1", "s2"])
+    terms = features.with_weights(signed, n_rows, n_postings, term_bytes).join(per_term, ["df", "s1", "s2"])
     terms = materialize(terms.select("term", "idf", "frequent", "coefficients"), "classifier")
-    return TextClassifier(terms, labels, tuple(float(b) for b in fitted.interceptVector))
+    return TextClassifier(terms, labels, tuple(float(b) for b in fitted.interceptVector), n_rows)
+
+
+# Coefficients that one task unfolds.
+_BLOCK = 1 << 16
 
 
 def _coefficient_table(spark: SparkSession, model_path: str) -> DataFrame:
@@ -326,9 +343,15 @@ def _coefficient_table(spark: SparkSession, model_path: str) -> DataFrame:
     stored = spark.read.parquet(f"{model_path}/data").select(
         F.unwrap_udt("coefficientMatrix").alias("m")
     )
-    cells = stored.select(
-        "m.numRows", "m.numCols", "m.isTransposed", F.posexplode("m.values").alias("at", "value")
-    )
+    # The one row is dealt in slices before its numbers become rows.
+    blocks = F.sequence(F.lit(0), F.greatest(F.size("m.values") - 1, F.lit(0)), F.lit(_BLOCK))
+    sliced = stored.select("m", F.explode(blocks).alias("first")).select(
+        "m.numRows", "m.numCols", "m.isTransposed", "first",
+        F.slice("m.values", F.col("first") + 1, F.lit(_BLOCK)).alias("values"),
+    )
+    cells = sliced.repartition("first").select(
+        "numRows", "numCols", "isTransposed", "first", F.posexplode("values").alias("place", "value")
+    ).withColumn("at", F.col("first") + F.col("place"))
     score = F.when(F.col("isTransposed"), F.expr("at div numCols")).otherwise(
         F.expr("at % numRows")
     )
