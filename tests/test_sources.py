@@ -35,7 +35,8 @@ def test_models_are_read_in_list_order(spark, tmp_path):
     assert rows[0].service_name == "Example Storage Service"
     assert rows[0].api_version == "2026-01-01"
     assert rows[0].description == "<p>Creates a bucket.</p>"
-    assert models.read_service_models(spark, folder, None).count() == 3
+    assert models.read_service_models(spark, folder, models.ALL_SERVICES).count() == 3
+    assert models.read_service_models(spark, folder, ["other", "other"]).count() == 2 * models.read_service_models(spark, folder, ["other"]).count()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         models.read_service_models(spark, folder).count()
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from textloom import fixed
@@ -32,6 +33,9 @@ MODEL_SCHEMA = T.StructType(
     ]
 )
 
+# Reads every file of a folder instead of a list.
+ALL_SERVICES = "*"
+
 # An allow-list this long is broadcast; a longer one is joined by shuffle.
 BROADCAST_LIST_LENGTH = 10_000
 
@@ -43,24 +47,30 @@ def source_name() -> Column:
 
 
 def read_service_models(
-    spark: SparkSession, folder: str, services: Sequence[str] | None = fixed.DEFAULT_SERVICES
+    spark: SparkSession, folder: str, services: Sequence[str] | None = None
 ) -> DataFrame:
     """Parsed models plus ``list_pos`` from the files ``<folder>/<service>.json``.
 
-    Only the files of the listed services are opened, ``list_pos`` is the place in the list, and a
-    name without a file fails at once. ``None`` reads every JSON file of the folder.
+    Only the files of the listed services are opened, each once; ``list_pos`` is the place in the
+    list, so a name that is listed twice has its rows twice, and a name without a file fails at once.
+    ``None`` means the default list, ``ALL_SERVICES`` every JSON file of the folder, by name.
     """
-    if services is not None and not services:
+    services = fixed.DEFAULT_SERVICES if services is None else services
+    if not services:
         empty = spark.createDataFrame([], "service string, model string, list_pos int")
         return parse_service_models(empty)
-    paths = [folder] if services is None else [f"{folder}/{name}.json" for name in services]
+    whole = services == ALL_SERVICES
+    paths = [folder] if whole else [f"{folder}/{name}.json" for name in dict.fromkeys(services)]
     files = spark.read.text(paths, wholetext=True, pathGlobFilter="*.json")
     models = files.select(
         F.regexp_replace(source_name(), r"\.json$", "").alias("service"),
         F.col("value").alias("model"),
     )
-    if services is None:
-        models = models.withColumn("list_pos", F.lit(0))
+    if whole:
+        # Names only, one per file, meet in the task that numbers them.
+        names = models.select("service").distinct()
+        place = F.row_number().over(W.orderBy("service")) - 1
+        models = models.join(names.withColumn("list_pos", place.cast("int")), "service")
     else:
         models = _positioned(models, services)
     return parse_service_models(models)
