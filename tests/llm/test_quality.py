@@ -63,3 +63,31 @@ def test_script(text, script):
 def test_query_keeps_most_documents(spark):
     rows = queries.op7_quality_rules(spark, "/root/testdata/sf0.001").collect()
     assert all(r["kept"] != r["base_failed"] for r in rows)
+
+
+def test_noise_is_rejected_and_fluent_text_of_more_scripts_stays():
+    import random
+    import string
+
+    import public_tokenizers
+
+    path, rng = public_tokenizers.path(quality.VOCABULARY), random.Random(7)
+    alphabets = {
+        "letters": string.ascii_lowercase, "capitals": string.ascii_uppercase, "digits": string.digits,
+        "base64": string.ascii_letters + string.digits + "+/", "signs": string.punctuation,
+        "signs and a letter": string.punctuation, "private": [chr(c) for c in range(0xE000, 0xF000)],
+        "cyrillic": [chr(c) for c in range(0x430, 0x450)], "hangul": [chr(c) for c in range(0xAC00, 0xD7A4)],
+    }
+    for name, alphabet in alphabets.items():
+        for n_words in (30, 100, 400):
+            words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(4, 9))) for _ in range(n_words)]
+            text = " ".join(words + ["\u03b1"] * (name == "signs and a letter"))
+            assert not quality.measure(text, path)[-1], (name, n_words)
+    for text in (
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi của mình.",
+        "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았다.",
+        "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება.",
+        "यह एक साधारण वाक्य है जिसमें कई शब्द हैं और जो हिन्दी में लिखा गया है ताकि जाँच हो सके।",
+    ):
+        assert quality.measure(text, path)[-1], text

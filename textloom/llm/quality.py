@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,28 +28,38 @@ _BLANKS = b" \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted range of characters per token, share of byte-fallback tokens, and token entropy."""
+    """Accepted range of characters per token, share of byte-fallback tokens, token entropy, and entropy
+    per character, which random characters raise above what fluent text reaches."""
 
     min_chars: float
     max_chars: float
     max_byte_share: float
     min_entropy: float
+    max_bits: float
 
 
-# Accepted bands by script. Where a vocabulary knows few of a script's letters, text of it takes
-# several byte tokens a character, which is no fault of the text.
+# Accepted bands by script, set around what fluent text measures. Where a vocabulary knows few of a
+# script's letters, text of it takes several byte tokens a character, which is no fault of the text.
 BANDS = {
-    "latin": Band(1.1, 8.0, 0.2, 3.0),
-    "greek": Band(0.4, 6.0, 0.9, 3.0),
-    "cyrillic": Band(0.7, 7.0, 0.5, 3.0),
-    "arabic": Band(0.3, 6.0, 0.95, 3.0),
-    "hebrew": Band(0.3, 6.0, 0.95, 3.0),
-    "devanagari": Band(0.2, 6.0, 1.0, 2.5),
-    "kana": Band(0.2, 4.0, 0.95, 2.5),
-    "han": Band(0.2, 4.0, 0.95, 2.5),
-    "hangul": Band(0.2, 4.0, 1.0, 2.5),
-    "other": Band(0.15, 8.0, 1.0, 2.5),
+    "latin": Band(1.7, 7.0, 0.2, 4.0, 3.7),
+    "latin_marked": Band(1.0, 7.0, 0.2, 4.0, 6.0),
+    "greek": Band(0.7, 4.0, 0.2, 3.5, 5.5),
+    "cyrillic": Band(1.4, 6.0, 0.2, 4.0, 4.2),
+    "arabic": Band(0.7, 4.0, 0.3, 3.5, 6.2),
+    "hebrew": Band(0.7, 4.0, 0.3, 3.5, 5.7),
+    "devanagari": Band(0.6, 4.0, 0.4, 3.5, 7.5),
+    "kana": Band(0.65, 4.0, 0.4, 4.0, 8.0),
+    "han": Band(0.5, 4.0, 0.6, 4.0, 11.0),
+    "hangul": Band(0.5, 4.0, 0.6, 4.0, 10.0),
+    "thai": Band(0.7, 4.0, 0.3, 3.5, 6.5),
+    "georgian": Band(0.7, 4.0, 0.3, 3.5, 6.5),
+    "tamil": Band(0.7, 4.0, 0.4, 3.5, 6.5),
+    "unlisted": Band(0.25, 6.0, 1.0, 3.0, 20.0),
 }
+# Of the characters in words at least so many are letters; a text without letters fails ("other").
+MIN_LETTER_SHARE = 0.25
+# Latin text with over this share of letters beyond ASCII has a band of its own.
+MARKED_SHARE = 0.1
 # Texts of fewer tokens have too small an entropy to be judged by it.
 MIN_TOKENS_FOR_ENTROPY = 64
 # First and last code points of the scripts' letters.
@@ -65,14 +76,41 @@ _RANGES = {
 }
 
 
-def script_of(text: str) -> str:
-    """The script with most letters; "other" if there are none."""
+_NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
+
+
+def script_and_letters(text: str) -> tuple[str, int]:
+    """The script with most letters ("other" if there are none), and the number of all letters."""
     if text.isascii():
-        return "latin" if any(map(text.__contains__, "etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ")) else "other"
+        n = len(text.encode().translate(None, _NOT_LETTERS))
+        return ("latin" if n else "other"), n
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     counts = {s: sum(int(((codes >= a) & (codes <= b)).sum()) for a, b in r) for s, r in _RANGES.items()}
+    listed = np.zeros(len(codes), bool)
+    for ranges in _RANGES.values():
+        for a, b in ranges:
+            listed |= (codes >= a) & (codes <= b)
+    # Letters and their marks of any other script count under the first word of their Unicode names.
+    for code, n in zip(*np.unique(codes[~listed & (codes > 127)], return_counts=True), strict=True):
+        if unicodedata.category(chr(code))[0] in "LM":
+            script = unicodedata.name(chr(code), "unlisted").split()[0].lower()
+            counts[script] = counts.get(script, 0) + int(n)
     best = max(counts, key=counts.__getitem__)
-    return best if counts[best] else "other"
+    return (best if counts[best] else "other"), sum(counts.values())
+
+
+def script_of(text: str) -> str:
+    """The script with most letters; "other" if there are none."""
+    return script_and_letters(text)[0]
+
+
+def band_of(script: str, text: str, bands: dict[str, Band]) -> Band | None:
+    """The band a text is judged by; None, for a text without letters, means that it fails."""
+    if script == "latin" and not text.isascii() and "latin_marked" in bands:
+        own = sum(map(str.isalpha, text))
+        plain = len(text.encode("ascii", "ignore").translate(None, _NOT_LETTERS))
+        script = "latin_marked" if own - plain > MARKED_SHARE * own else script
+    return None if script == "other" else bands.get(script, bands.get("unlisted"))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -127,10 +165,11 @@ def measure(text: str, path: str, bands: dict[str, Band] = BANDS) -> tuple:
     entropy = float(-(shares * np.log2(shares)).sum()) + 0.0
     per_token, byte_share = word_chars / max(1, n), float(is_byte[ids].sum()) / max(1, n)
     base_failed = n_words < MIN_WORDS or 100 * repeat > MAX_REPEATED_PERCENT * n_words
-    script = script_of(text)
-    band = bands[script]
-    fits = band.min_chars <= per_token <= band.max_chars and byte_share <= band.max_byte_share
-    fits = fits and (n < MIN_TOKENS_FOR_ENTROPY or entropy >= band.min_entropy)
+    script, letters = script_and_letters(text)
+    band = band_of(script, text, bands)
+    fits = band is not None and letters >= MIN_LETTER_SHARE * word_chars
+    fits = fits and band.min_chars <= per_token <= band.max_chars and byte_share <= band.max_byte_share
+    fits = fits and (n < MIN_TOKENS_FOR_ENTROPY or band.min_entropy <= entropy <= band.max_bits * per_token)
     symbols = sum(data.count(bytes([s])) for s in SYMBOLS)
     dup_lines = len(lines) - len(set(lines))
     return (
@@ -145,8 +184,9 @@ def quality(text: Column, path: str | None = None, bands: dict[str, Band] | None
     Words are runs without ASCII white space. A text fails the basic rules with fewer than
     ``MIN_WORDS`` words or with over ``MAX_REPEATED_PERCENT`` percent of words in repeated windows of
     five; otherwise it is kept if characters (in words) per token, the share of byte-fallback tokens
-    and the entropy of the tokens lie within the band of its main script. Null and empty texts have
-    zero counts and fail; equal texts get equal values.
+    and the entropy of the tokens, also per character, lie within the band of its main script. Texts
+    without or with few letters fail. Null and empty texts have zero counts and fail; equal texts get
+    equal values.
     """
     path, bands = path or public_tokenizers.path(VOCABULARY), bands or BANDS
 
