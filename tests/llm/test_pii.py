@@ -70,3 +70,29 @@ def test_whole_table_against_plain_replacement(spark, docs):
         assert r["n_values"] == len(values)
         for start, end, _, _ in values:
             assert texts[r["doc_id"]].encode()[start:end].decode() not in r["text"]
+
+
+def test_dates_of_timestamps_are_linked_with_plain_dates():
+    day = done("2024-05-01 10:00").split()[0]
+    assert day != "2024-05-01"
+    for end in ("T10:00:00Z", "T10:00:00.123+02:00", "T1000", "T10:00"):
+        assert done(f"at 2024-05-01{end}.") == f"at {day}{end}."
+    assert done("2024-05-01Test 2024-05-01T1x") == "2024-05-01Test 2024-05-01T1x"
+
+
+@pytest.mark.parametrize(
+    ("iban", "after"),
+    [("ES91 2100 0418 4502 0005 1332", " BIC CAIXESBB"), ("AT611904300234573201", " BIC: GIBAATWW"),
+     ("SE45 5000 0000 0583 9825 7466", " OCR"), ("SE45 5000 0000 0583 9825 7466", " 2024 OCR"),
+     ("DE89 3704 0044 0532 0130 00", " BIC")],
+)
+def test_an_iban_ends_before_a_following_word(iban, after):
+    alone = done(iban)
+    assert alone != iban and done(iban + after) == alone + after
+
+
+def test_a_value_after_an_iban_is_still_found():
+    a, b = "SE45 5000 0000 0583 9825 7466", "AT611904300234573201"
+    assert done(f"{a} {b}") == f"{done(a)} {done(b)}"
+    spaced = "AT61 1904 3002 3457 3201"
+    assert done(f"{a} {spaced}") == f"{done(a)} {done(spaced)}"

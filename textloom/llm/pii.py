@@ -33,8 +33,8 @@ _PATTERNS = (
     ("card", rb"[0-9](?<![0-9A-Za-z_].)[0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?(?![0-9A-Za-z_])"),
     ("card", rb"[0-9](?<![0-9A-Za-z_].)[0-9]{3}([ -])[0-9]{6}\1[0-9]{5}(?![0-9A-Za-z_])"),
     ("ssn", rb"[0-9](?<![0-9A-Za-z_-].)[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_-])"),
-    ("date", rb"[12](?<![0-9A-Za-z_./-].)[0-9]{3}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9A-Za-z_/-]|\.[0-9])"),
-    ("date", rb"[0-9](?<![0-9A-Za-z_./-].)[0-9]?([-/.])[0-9]{1,2}\1[12][0-9]{3}(?![0-9A-Za-z_/-]|\.[0-9])"),
+    ("date", rb"[12](?<![0-9A-Za-z_./-].)[0-9]{3}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?=T[0-2][0-9](?![A-Za-z_])|(?![0-9A-Za-z_/-]|\.[0-9]))"),
+    ("date", rb"[0-9](?<![0-9A-Za-z_./-].)[0-9]?([-/.])[0-9]{1,2}\1[12][0-9]{3}(?=T[0-2][0-9](?![A-Za-z_])|(?![0-9A-Za-z_/-]|\.[0-9]))"),
     ("phone", rb"\+(?<![0-9A-Za-z_+].)[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){4,13}(?![0-9A-Za-z_])"),
     ("phone", rb"[(](?<![0-9A-Za-z_+].)[0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z_])"),
     ("phone", rb"[0-9](?<![0-9A-Za-z_+.(-].)[0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9A-Za-z_-]|\.[0-9])"),
@@ -217,15 +217,33 @@ def replacements(data: bytes, key: bytes) -> list[tuple[int, int, str, bytes]]:
                 found.append((local.start(), domain.end(), "mail"))
     if _DIGIT.search(data):
         for kind, pattern in PATTERNS:
+            if kind == "iban":  # one may start inside the match of another, which takes in what follows
+                at = 0
+                while m := pattern.search(data, at):
+                    found.append((*m.span(), kind))
+                    at = m.start() + 4
+                continue
             found += [(*m.span(), kind) for m in pattern.finditer(data)]
     out, end = [], 0
     for start, stop, kind in sorted(found, key=lambda x: (x[0], -x[1])):
-        if start >= end and (new := pseudonym(kind, data[start:stop], key)) is not None:
-            out.append((start, stop, kind, new))
-            end = stop
+        if start < end:
+            continue
+        for own in _iban_stops(data, start, stop) if kind == "iban" else (stop,):
+            if (new := pseudonym(kind, data[start:own], key)) is not None:
+                out.append((start, own, kind, new))
+                end = own
+                break
     return out
 
 
+def _iban_stops(data: bytes, start: int, stop: int) -> Iterator[int]:
+    """Where an IBAN may end: after the whole match, or before any of its blanks, the longest first, as
+    a match takes in a following short word. At most ten."""
+    while stop > start:
+        yield stop
+        stop = data.rfind(b" ", start, stop)
+
+
 def replace(data: bytes, key: bytes) -> tuple[bytes, int]:
     """(text with pseudonyms, number of values)."""
     found, parts, at = replacements(data, key), [], 0
