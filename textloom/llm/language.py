@@ -15,9 +15,9 @@ from pyspark.sql.functions import arrow_udf
 
 from textloom.llm.common import materialize, slices
 
-# At most so many different labelled texts of a language, chosen by hash, fit the text model; of the labels
-# at most so many, the most frequent, are languages.
-MAX_TEXTS, MAX_LANGUAGES = 500, 32
+# At most so many different labelled texts of a language, chosen by hash, fit the text model; every label
+# is a language.
+MAX_TEXTS = 500
 HASH_BITS = 16
 SMOOTHING = 0.05
 # N-grams of a text depend on each other; a text counts as so many independent ones at most.
@@ -91,29 +91,35 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_text(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS) -> TextModel:
-    """Trigram model of the languages in ``lang_col``; rows with a null text or label don't count."""
+    """Trigram model of all languages in ``lang_col``; rows with a null text or label don't count. The
+    table takes 256 KB a language on the driver and in each worker."""
     texts = docs.select(F.col(text_col).alias("text"), F.lower(lang_col).alias("lang")).dropna()
-    ranked = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    found = ranked.collect()
+    found = texts.groupBy("lang").count().collect()
     languages = tuple(sorted(r["lang"] for r in found))
     # First a generous share by hash, so that what is ranked stays small whatever the input's size.
-    many = {r["lang"]: r["count"] for r in found}
     share = F.lit(0.0)
-    for lang, n in many.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 8 * max_texts / n)).otherwise(share)
+    for r in found:
+        share = F.when(F.col("lang") == r["lang"], min(1.0, 8 * max_texts / r["count"])).otherwise(share)
     hashed = texts.withColumn("h", F.xxhash64("text"))
     chosen = hashed.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = chosen.withColumn("place", place).where(F.col("place") <= max_texts).select("lang", "h")
-    # At most max_texts for each of MAX_LANGUAGES.
+    # At most max_texts for each language.
     sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     counted = sample.select("text", "lang").mapInArrow(_count, "lang string, feature long, n long")
     rows = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((1 << HASH_BITS, len(languages)), SMOOTHING)
-    np.add.at(counts, (rows["feature"].to_numpy(np.int64), rows["lang"].map(languages.index).to_numpy(np.int64)), rows["n"])
-    table = np.log(counts / counts.sum(axis=0))
-    none = np.full((len(table), 1), -HASH_BITS * np.log(2))
-    return TextModel(languages, np.hstack([table, none]).astype(np.float32))
+    table = np.full((1 << HASH_BITS, len(languages) + 1), -HASH_BITS * np.log(2), np.float32)
+    for lang, own in rows.groupby("lang"):
+        table[:, languages.index(lang)] = _log_shares(own["feature"], own["n"])
+    for i in sorted(set(range(len(languages))) - {languages.index(x) for x in rows["lang"].unique()}):
+        table[:, i] = _log_shares([], [])
+    return TextModel(languages, table)
+
+
+def _log_shares(features, numbers) -> np.ndarray:
+    counts = np.full(1 << HASH_BITS, SMOOTHING)
+    counts[np.asarray(features, np.int64)] += np.asarray(numbers, np.float64)
+    return np.log(counts / counts.sum())
 
 
 def address_parts(host: Column) -> tuple[Column, Column]:
@@ -123,8 +129,8 @@ def address_parts(host: Column) -> tuple[Column, Column]:
 
 
 def _known(lang: Column, languages: tuple[str, ...]) -> Column:
-    short = F.lower(F.regexp_extract(lang, "^[A-Za-z]+", 0))
-    return F.when(short.isin(*languages), short).when(short != "", "other")
+    short, whole = F.lower(F.regexp_extract(lang, "^[A-Za-z]+", 0)), F.lower(lang)
+    return F.when(whole.isin(*languages), whole).when(short.isin(*languages), short).when(short != "", "other")
 
 
 def _argmax(scores: Column, languages: tuple[str, ...]) -> Column:
@@ -203,10 +209,10 @@ def identify(
     prior = materialize(prior, "language-priors")  # its size then decides how it meets the texts
 
     scored = rows.join(prior, "__host", "left")
-    likelihood = F.lit(None).cast("array<double>")
-    for name, values in said.items():
-        likelihood = F.when(F.col("__declared") == name, floats(np.log(values))).otherwise(likelihood)
-    likelihood = F.coalesce(likelihood, floats(np.zeros(len(languages))))
+    told = [(name, np.log(values).tolist()) for name, values in said.items()]
+    told = docs.sparkSession.createDataFrame(told, "__declared string, __said array<double>")
+    scored = scored.join(F.broadcast(told), "__declared", "left")
+    likelihood = F.coalesce("__said", floats(np.zeros(len(languages))))
     before = F.zip_with(
         F.coalesce("__prior", floats(everywhere)), likelihood, lambda p, d: F.log(p * (1 - UNKNOWN_PRIOR)) + d
     )
