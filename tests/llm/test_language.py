@@ -46,3 +46,26 @@ def test_declaration_and_host_decide_where_the_text_does_not(spark, docs):
 def test_pages_use_markup_and_address(spark):
     rows = queries.language_id_pages(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 50 and all(r["kept"] for r in rows)
+
+
+def test_every_label_is_a_language(spark):
+    import random
+
+    rng, names = random.Random(3), [f"{a}{b}" for a in "abcde" for b in "pqrstuvw"]
+    words = {x: ["".join(rng.choice("bcdfghklmnprstvzaeiou") for _ in range(7)) for _ in range(30)] for x in names}
+    rows = [(" ".join(rng.choices(words[x], k=40)), x) for i, x in enumerate(names) for _ in range(45 - i)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    model = language.fit_text(table)
+    assert model.languages == tuple(sorted(names)) and len(names) == 40
+    found = language.identify(table, model, text=F.col("text"), declared=F.col("lang"))
+    assert all(r["lang"] == r["language"]["lang"] and r["language"]["kept"] for r in found.collect())
+
+
+def test_copies_do_not_thin_the_texts_of_a_label(spark):
+    others = spark.range(200).select(F.concat(F.lit("text number "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    copies = spark.range(20_000).select(F.lit("one text with very many copies").alias("text"))
+    lang = F.lit("en").alias("lang")
+    many = language.fit_text(copies.unionAll(others).select("text", lang), max_texts=250)
+    once = language.fit_text(copies.limit(1).unionAll(others).select("text", lang), max_texts=250)
+    # Copies are one text, so they change nothing.
+    assert (many.table == once.table).all() and len(set(many.table[:, 0])) > 2

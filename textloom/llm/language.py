@@ -94,14 +94,16 @@ def fit_text(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """Trigram model of all languages in ``lang_col``; rows with a null text or label don't count. The
     table takes 256 KB a language on the driver and in each worker."""
     texts = docs.select(F.col(text_col).alias("text"), F.lower(lang_col).alias("lang")).dropna()
-    found = texts.groupBy("lang").count().collect()
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    # Copies are one text: both the bound and the share below count distinct hashes.
+    distinct = hashed.select("lang", "h").distinct()
+    found = distinct.groupBy("lang").count().collect()
     languages = tuple(sorted(r["lang"] for r in found))
     # First a generous share by hash, so that what is ranked stays small whatever the input's size.
     share = F.lit(0.0)
     for r in found:
         share = F.when(F.col("lang") == r["lang"], min(1.0, 8 * max_texts / r["count"])).otherwise(share)
-    hashed = texts.withColumn("h", F.xxhash64("text"))
-    chosen = hashed.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "h").distinct()
+    chosen = distinct.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = chosen.withColumn("place", place).where(F.col("place") <= max_texts).select("lang", "h")
     # At most max_texts for each language.
