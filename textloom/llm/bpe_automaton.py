@@ -66,8 +66,11 @@ class MergeAutomaton:
 
     def _compile_arc(self, state: int, token: int) -> bool:
         """Whether the state behind ``state`` ends up with an arc for ``token``."""
+        return self.meet(state, token, len(self.merge_rank))
+
+    def meet(self, state: int, token: int, before: int) -> bool:
+        """Whether ``token`` can follow ``state`` once the gadgets of a rank below ``before`` are applied."""
         base = (-1, 0, 0)
-        before = len(self.merge_rank)  # gadgets of a lower rank have been applied
         while True:
             removed = self.merge_rank.get((state, token), before)
             if removed < before:

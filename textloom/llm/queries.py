@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.html import clean_html
-from textloom.llm import bpe_automaton, language, line_dedup, nn_graph, packing, pii, quality, secrets, simhash, tokens, toxicity
+from textloom.llm import bpe_automaton, language, line_dedup, nn_graph, packing, pii, quality, secrets, simhash, tokens, toxicity, vector_packing
 from textloom.llm.common import read
 
 END_ID = 2
@@ -117,6 +117,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return vector_packing.pack_examples(docs, end_id=END_ID)
+
+
+def vector_packing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on instruction data: only what the assistant says bears loss, and a sequence
+    may hold at most half as many such tokens as tokens."""
+    turns = read(spark, sf_dir, "conversations")
+    spoken = F.col("role") == "assistant"
+    examples = turns.select(
+        "conv_id", "turn", F.when(spoken, F.col("text")).alias("text"),
+        F.when(spoken, F.lit("")).otherwise(F.col("text")).alias("prompt"),
+    )
+    limits = vector_packing.Limits(segments=64, loss=2048)
+    return vector_packing.pack_examples(examples, prompt_col="prompt", end_id=END_ID, limits=limits)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -131,6 +149,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_pii_pseudonyms,
         op10_toxicity,
+        op11_vector_packing,
+        vector_packing_turns,
     )
 }
 
