@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.html import clean_html
-from textloom.llm import bpe_automaton, language, line_dedup, nn_graph, packing, pii, quality, secrets, simhash, tokens, toxicity, vector_packing
+from textloom.llm import bpe_automaton, hard_negatives, language, line_dedup, nn_graph, packing, pii, quality, secrets, simhash, spelling, tokens, toxicity, vector_packing
 from textloom.llm.common import read
 
 END_ID = 2
@@ -122,6 +122,16 @@ def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_examples(docs, end_id=END_ID)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives.mine(vectors, F.pmod("id", F.lit(100)) == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), slip=199))
+
+
 def vector_packing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator on instruction data: only what the assistant says bears loss, and a sequence
     may hold at most half as many such tokens as tokens."""
@@ -151,6 +161,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_vector_packing,
         vector_packing_turns,
+        op12_hard_negatives,
+        op13_spelling_variants,
     )
 }
 
