@@ -1,7 +1,7 @@
 """Text classifier: TF-IDF features and balanced, L2-regularised logistic regression.
 
-Fitting uses Spark ML on sparse vectors; scoring is plain SQL, a join with the coefficient table
-and one aggregation per text, so a model is never copied whole into every task.
+Fitting works on a table of features, block by block (``solver``); scoring is plain SQL, a join with
+the coefficient table and one aggregation per text, so a model is never copied whole into a task.
 """
 
 from __future__ import annotations
@@ -9,22 +9,18 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from textloom import fixed
 from textloom.functions.text import is_blank, normalise_query
-from textloom.operators import features, split
-from textloom.session import materialize, scratch_path
+from textloom.operators import features, solver, split
+from textloom.session import materialize
 
 # A fit uses at most so many labelled rows, the same share of every label, chosen by the hash order
-# of the stratified split. Spark ML keeps (labels x merged terms) coefficients on the driver, and the
-# number of merged terms follows the number of rows.
-MAX_ROWS = 200_000
+# of the stratified split: each task of the solver holds the margins of all rows.
+MAX_ROWS = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -203,61 +199,28 @@ def add_index(stored: DataFrame) -> DataFrame:
     )
 
 
-_VECTOR_SCHEMA = T.StructType(
-    [
-        T.StructField("label_idx", T.DoubleType()),
-        T.StructField("class_weight", T.DoubleType()),
-        T.StructField("features", VectorUDT()),
-    ]
-)
-
-
-def sparse_vectors(
-    weights: DataFrame, documents: DataFrame, id_col: str, n_terms: int, *carry: str
-) -> DataFrame:
-    """``carry..., features``: one sparse vector per document, as its stored struct form.
-
-    Reading the written table back with a vector schema turns the struct into a Spark ML vector
-    without a Python function. Documents without terms get the zero vector.
-    """
-    entries = weights.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("entries")
-    )
-    joined = documents.select(id_col, *carry).join(entries, id_col, "left")
-    sorted_entries = F.coalesce(
-        "entries", F.array().cast("array<struct<idx:int,weight:double>>")
-    )
-    return joined.select(
-        *carry,
-        F.struct(
-            F.lit(0).cast("tinyint").alias("type"),
-            F.lit(n_terms).alias("size"),
-            sorted_entries.getField("idx").alias("indices"),
-            sorted_entries.getField("weight").alias("values"),
-        ).alias("features"),
-    )
-
-
 def fit_classifier(
     training: DataFrame,
     id_col: str,
     max_iter: int = fixed.MAX_ITERATIONS,
     max_rows: int = MAX_ROWS,
+    tolerance: float = solver.TOLERANCE,
+    block_entries: int = solver.BLOCK_ENTRIES,
 ) -> TextClassifier:
     """Fit on ``text, label`` rows with a unique ``id_col``.
 
     Of more than ``max_rows`` rows the same share of each label is used, by hash order; the model
-    reports how many. Class weights are those of the rows used.
-    The vocabulary, the features and the fitted terms are written tables, so iterations re-read
-    rather than re-compute. The regularisation equals a unit inverse strength on the summed loss.
+    reports how many. Class weights are those of the rows used. The objective is the weighted
+    log-loss plus half the squared coefficients (a unit inverse penalty). The vocabulary, the
+    features and the fitted terms are written tables, so rounds re-read rather than re-compute; the
+    driver holds the labels, their weights and the intercepts.
     """
     spark = training.sparkSession
     rows = training.select(id_col, "text", "label")
     total = rows.count()
     if total > max_rows:
-        rows = materialize(
-            split.stratified_split(rows, id_col, test_share=max_rows / total).test, "training-rows"
-        )
+        rows = split.stratified_split(rows, id_col, test_share=max_rows / total).test
+    rows = materialize(add_index(materialize(rows.select("text", "label"), "training-rows")), "numbered-rows")
     class_weights = split.balanced_weights(rows).orderBy("label").collect()
     labels = tuple(r.label for r in class_weights)
     if None in labels:
@@ -266,8 +229,8 @@ def fit_classifier(
         raise ValueError("A classifier needs at least two labels.")
     n_rows = sum(r.n for r in class_weights)
 
-    postings = materialize(features.document_terms(rows, id_col), "postings")
-    signed = materialize(merge_equal_terms(postings, id_col), "vocabulary")
+    postings = materialize(features.document_terms(rows, "idx").withColumnRenamed("idx", "row"), "postings")
+    signed = materialize(merge_equal_terms(postings, "row"), "vocabulary")
     n_postings = signed.agg(F.sum("df")).first()[0] or 0
     groups = materialize(
         signed.groupBy("df", "s1", "s2").agg(
@@ -275,7 +238,6 @@ def fit_classifier(
         ),
         "term-groups",
     )
-    n_features = groups.count()
     n_scores = 1 if len(labels) == 2 else len(labels)
     # Both lookups carry an array of scores or three numbers a term.
     term_bytes = features.TERM_BYTES + 8 * n_scores
@@ -290,75 +252,26 @@ def fit_classifier(
     found = features.lookup_terms(
         postings, representatives, ("idx", "idf", "n_terms"), written=True
     ).withColumn("raw", features.sublinear("tf") * F.col("idf") * F.sqrt("n_terms"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(id_col)))
-    weighted = found.select(id_col, "idx", (F.col("raw") / length).alias("weight"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("row")))
+    entries = materialize(found.select("row", "idx", (F.col("raw") / length).alias("value")), "features")
     # One entry per label, and the labels are on the driver already.
     targets = F.broadcast(
         spark.createDataFrame(
-            [(r.label, float(i), float(r.weight)) for i, r in enumerate(class_weights)],
-            "label string, label_idx double, class_weight double",
+            [(r.label, i, float(r.weight)) for i, r in enumerate(class_weights)],
+            "label string, target int, weight double",
         )
     )
-    labelled = rows.join(targets, "label")
-    path = scratch_path(spark, "features")
-    sparse_vectors(
-        weighted, labelled, id_col, n_features, "label_idx", "class_weight"
-    ).write.parquet(path)
-
-    regression = LogisticRegression(
-        featuresCol="features",
-        labelCol="label_idx",
-        weightCol="class_weight",
-        family="auto",
-        maxIter=max_iter,
-        tol=1e-5,
-        regParam=1.0 / n_rows,
-        elasticNetParam=0.0,
-        standardization=False,
-    )
-    fitted = regression.fit(spark.read.schema(_VECTOR_SCHEMA).parquet(path))
-
-    model_path = scratch_path(spark, "regression")
-    fitted.write().overwrite().save(model_path)
+    targeted = materialize(rows.join(targets, "label").select(F.col("idx").alias("row"), "target", "weight"), "targets")
+    fitted = solver.fit(entries, targeted, n_scores, tolerance=tolerance, max_iter=max_iter, block_entries=block_entries)
     per_term = (
-        groups.join(_coefficient_table(spark, model_path), "idx")
+        groups.join(fitted.coefficients, "idx")
         .select(
             "df",
             "s1",
             "s2",
-            F.transform("coefficients", lambda b: b / F.sqrt("n_terms")).alias("coefficients"),
+            F.transform("values", lambda b: b / F.sqrt("n_terms")).alias("coefficients"),
         )
     )
     terms = features.with_weights(signed, n_rows, n_postings, term_bytes).join(per_term, ["df", "s1", "s2"])
     terms = materialize(terms.select("term", "idf", "frequent", "coefficients"), "classifier")
-    return TextClassifier(terms, labels, tuple(float(b) for b in fitted.interceptVector), n_rows)
-
-
-# Coefficients that one task unfolds.
-_BLOCK = 1 << 16
-
-
-def _coefficient_table(spark: SparkSession, model_path: str) -> DataFrame:
-    """``idx, coefficients`` from the saved regression, unfolded by the executors."""
-    stored = spark.read.parquet(f"{model_path}/data").select(
-        F.unwrap_udt("coefficientMatrix").alias("m")
-    )
-    # The one row is dealt in slices before its numbers become rows.
-    blocks = F.sequence(F.lit(0), F.greatest(F.size("m.values") - 1, F.lit(0)), F.lit(_BLOCK))
-    sliced = stored.select("m", F.explode(blocks).alias("first")).select(
-        "m.numRows", "m.numCols", "m.isTransposed", "first",
-        F.slice("m.values", F.col("first") + 1, F.lit(_BLOCK)).alias("values"),
-    )
-    cells = sliced.repartition("first").select(
-        "numRows", "numCols", "isTransposed", "first", F.posexplode("values").alias("place", "value")
-    ).withColumn("at", F.col("first") + F.col("place"))
-    score = F.when(F.col("isTransposed"), F.expr("at div numCols")).otherwise(
-        F.expr("at % numRows")
-    )
-    idx = F.when(F.col("isTransposed"), F.expr("at % numCols")).otherwise(F.expr("at div numRows"))
-    return (
-        cells.select(idx.cast("int").alias("idx"), score.alias("score"), "value")
-        .groupBy("idx")
-        .agg(F.sort_array(F.collect_list(F.struct("score", "value"))).alias("cells"))
-        .select("idx", F.col("cells.value").alias("coefficients"))
-    )
+    return TextClassifier(terms, labels, fitted.intercepts, n_rows)
