@@ -60,6 +60,16 @@ def test_columns_pass_and_own_names_are_replaced(spark):
     assert sorted((r["a"], r["piece"], list(r["ids"])) for r in found.collect()) == [(1, 0, [5]), (1, 1, [6, 7]), (2, 0, [])]
 
 
+def test_one_pass_gives_the_pieces_of_the_steps(spark, docs):
+    few = docs.limit(40).withColumn("tags", F.array("lang", "source")).withColumn("piece", F.lit("x"))
+    ids = few.select("doc_id", "tags", tokens.token_ids(F.col("text"), end_id=7).alias("ids"))
+    steps = packing.cut(ids, capacity=100).withColumn("ids_crc32", packing.ids_crc32("ids")).drop("ids")
+    whole = packing.pack_texts(few, end_id=7, capacity=100).drop("lang", "source", "n_chars")
+    names = ("doc_id", "tags", "piece", "start", "length", "ids_crc32")
+    assert whole.columns == [*names, "sequence_id", "offset"]
+    assert sorted(map(str, whole.select(*names).collect())) == sorted(map(str, steps.select(*names).collect()))
+
+
 def test_best_fit_takes_the_least_space_and_closes_the_fullest():
     bins = packing.BestFit(capacity=10, open_bins=2)
     assert [bins.add(x) for x in (6, 7, 3, 8, 5)] == [(0, 0), (1, 0), (1, 7), (2, 0), (3, 0)]

@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from textloom.llm.common import materialize
+from textloom.llm.common import bytes_of, materialize
+from textloom.llm.tokens import BYTE_BPE, byte_bpe
 
 CAPACITY = 1024
 OPEN_BINS = 4096
@@ -22,6 +24,7 @@ WINDOW = 4096
 TAILS_PER_TASK = 100_000
 # Sequence ids: task in the upper bits, the number of the bin in its task in the lower ones.
 _TASK_BITS = 36
+_PIECE = ("piece", "start", "length", "ids_crc32")
 
 
 class BestFit:
@@ -113,6 +116,42 @@ def ids_crc32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
 
 
+def _cut_lengths(n: int, capacity: int) -> list[int]:
+    """Lengths of the pieces of ``n`` ids: only the first may be shorter than the capacity."""
+    count = max(1, -(-n // capacity))
+    return [n - (count - 1) * capacity, *[capacity] * (count - 1)]
+
+
+def _piece_rows(batches: Iterable[pa.RecordBatch], vocabulary: str | None, end_id: int | None, capacity: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of texts, without their ids: a window of about ``WINDOW`` pieces at a time."""
+    bpe = byte_bpe(vocabulary or public_tokenizers.path(BYTE_BPE))
+    tail = np.array([] if end_id is None else [end_id], "<u4")
+    for batch in batches:
+        texts, kept = batch.column("__text"), batch.drop_columns(["__text"])
+        rows: list[int] = []
+        own: list[tuple] = []
+
+        def window(kept: pa.RecordBatch = kept, rows: list = rows, own: list = own) -> pa.RecordBatch:
+            part = kept.take(pa.array(rows, pa.int64()))
+            numbers = list(zip(*own, strict=True))
+            columns = [pa.array(numbers[0], pa.int32()), *[pa.array(x, pa.int64()) for x in numbers[1:]], pa.array(numbers[2], pa.int64())]
+            rows.clear()
+            own.clear()
+            return pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *_PIECE, "__length"])
+
+        for i, text in enumerate(texts):
+            ids = bpe.encode_to_numpy(text.as_py().decode("utf-8", "replace"), allowed_special="all").astype("<u4", copy=False)
+            ids, start = np.concatenate([ids, tail]), 0
+            for piece, length in enumerate(_cut_lengths(len(ids), capacity)):
+                rows.append(i)
+                own.append((piece, start, length, zlib.crc32(ids[start : start + length])))
+                start += length
+            if len(rows) >= WINDOW:
+                yield window()
+        if rows:
+            yield window()
+
+
 def _packer(capacity: int, open_bins: int):
     """A mapInArrow function: adds (sequence_id, offset); a task's open bins follow as marker rows."""
 
@@ -144,10 +183,23 @@ def _packer(capacity: int, open_bins: int):
     return run
 
 
+def _text_packer(vocabulary: str | None, end_id: int | None, capacity: int, open_bins: int):
+    """The same from texts: one pass from text to place, so that ids never leave the task."""
+    place = _packer(capacity, open_bins)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return place(_piece_rows(batches, vocabulary, end_id, capacity))
+
+    return run
+
+
+def _placed_schema(fields: list[T.StructField]) -> T.StructType:
+    fields = [T.StructField(f.name, f.dataType, True) for f in fields]
+    return T.StructType([*fields, T.StructField("__bin", T.LongType()), T.StructField("__at", T.LongType()), T.StructField("__open", T.BooleanType())])
+
+
 def _place(rows: DataFrame, capacity: int, open_bins: int) -> DataFrame:
-    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]
-    added = [T.StructField("__bin", T.LongType()), T.StructField("__at", T.LongType()), T.StructField("__open", T.BooleanType())]
-    return rows.mapInArrow(_packer(capacity, open_bins), T.StructType(fields + added))
+    return rows.mapInArrow(_packer(capacity, open_bins), _placed_schema(rows.schema.fields))
 
 
 def pack(
@@ -163,7 +215,32 @@ def pack(
     ``capacity`` is an error. An empty table stays empty.
     """
     rows = pieces.drop("sequence_id", "offset").withColumn("__length", F.coalesce(length_col, F.lit(0)).cast("long"))
-    placed = materialize(_place(rows, capacity, open_bins), "packed")
+    return _settled(materialize(_place(rows, capacity, open_bins), "packed"), capacity, open_bins)
+
+
+def pack_texts(
+    docs: DataFrame, *, text_col: str = "text", vocabulary: str | None = None, end_id: int | None = None,
+    capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
+) -> DataFrame:
+    """The other columns of ``docs`` with ``piece``, ``start``, ``length`` and ``ids_crc32`` of every piece
+    of the byte-level BPE ids of its text, then ``end_id``, and its ``sequence_id`` and ``offset``.
+
+    Pieces are those of ``cut``, places those of ``pack``; columns of these names are replaced. Ids
+    are made, cut, summed up and placed in one pass and never leave their task. A null text counts as
+    empty; an empty table stays empty.
+    """
+    gone = {*_PIECE, "sequence_id", "offset", text_col}
+    kept = [c for c in docs.columns if c not in gone]
+    rows = docs.select(*kept, bytes_of(F.col(text_col)).alias("__text"))
+    kinds = [T.IntegerType(), *[T.LongType()] * 4]
+    own = [T.StructField(n, k) for n, k in zip((*_PIECE, "__length"), kinds, strict=True)]
+    schema = _placed_schema([*(rows.schema[c] for c in kept), *own])
+    run = _text_packer(vocabulary, end_id, capacity, open_bins)
+    return _settled(materialize(rows.mapInArrow(run, schema), "packed"), capacity, open_bins)
+
+
+def _settled(placed: DataFrame, capacity: int, open_bins: int) -> DataFrame:
+    """Pieces with their places, the bins that tasks left open being packed again."""
     tails = placed.where("__open").select(F.col("__bin").alias("tail"), "__length")
     tasks = -(-tails.count() // TAILS_PER_TASK)
     again = _place(tails.repartition(max(1, tasks)), capacity, open_bins).where("NOT __open")
@@ -171,7 +248,7 @@ def pack(
     moved = again.select("tail", (-F.col("__bin") - 1).alias("to"), F.col("__at").alias("shift"))
     moved = materialize(moved, "packed-tails")
     done = placed.where("NOT __open").join(moved, F.col("__bin") == F.col("tail"), "left")
-    kept = [c for c in rows.columns if c != "__length"]
+    kept = [c for c in placed.columns if not c.startswith("__")]
     return done.select(
         *kept,
         F.coalesce("to", "__bin").alias("sequence_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.html import clean_html
-from textloom.llm import bpe_automaton, hard_negatives, language, line_dedup, nn_graph, packing, pii, quality, secrets, simhash, spelling, tokens, toxicity, vector_packing
+from textloom.llm import bpe_automaton, hard_negatives, language, line_dedup, nn_graph, packing, pii, quality, secrets, simhash, spelling, toxicity, vector_packing
 from textloom.llm.common import read
 
 END_ID = 2
@@ -70,9 +70,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """Token pieces of the texts with their places in packed sequences."""
-    ids = docs.select("doc_id", tokens.token_ids(F.col("text"), end_id=END_ID).alias("ids"))
-    pieces = packing.cut(ids).withColumn("ids_crc32", packing.ids_crc32("ids")).drop("ids")
-    return packing.pack(pieces)
+    return packing.pack_texts(docs.select("doc_id", "text"), end_id=END_ID)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
