@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import line_dedup, pii, queries, simhash
-from textloom.llm.common import materialize, read
+from textloom.llm.common import materialize, read, text_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,6 +23,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus has."""
+    text_batches(spark)
     return queries.identified(docs).where("language.kept").drop("language")
 
 
@@ -33,17 +34,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    text_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values give way to pseudonyms."""
+    text_batches(spark)
     done = docs.withColumn("__done", pii.pseudonymise(F.col("text")))
     return _measured(done.withColumn("text", F.col("__done.text")).drop("__done"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences."""
+    text_batches(spark)
     return queries.packed_pieces(docs)
 
 
