@@ -45,7 +45,7 @@ def test_fluent_text_of_many_scripts_stays_and_noise_goes():
 
     path, rng = public_tokenizers.path(quality.VOCABULARY), random.Random(1)
     fluent = [
-        "It was the best of times, it was the worst of times, it was the age of wisdom and of foolishness too.",
+        "Every happy household resembles its neighbours, while unhappy ones, as the novelist wrote, suffer each in their own way.",
         "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по своему, как говорят.",
         "Όλες οι ευτυχισμένες οικογένειες μοιάζουν μεταξύ τους αλλά κάθε δυστυχισμένη είναι δυστυχισμένη αλλιώς",
     ]

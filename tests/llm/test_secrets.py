@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import queries, secrets
@@ -51,7 +52,8 @@ def trained(n=120):
         return " ".join(rng.choice(words) for _ in range(k))
 
     keyed = [f'{prose(30)} token = "{rng.randbytes(20).hex()}" {prose(30)}'.encode() for _ in range(n)]
-    return secrets.train(keyed + [prose(80).encode() for _ in range(n)]), rng, prose
+    texts = keyed + [prose(80).encode() for _ in range(n)]
+    return secrets.train(w for t in texts for w in secrets.windows_of(t)), rng, prose
 
 
 def test_the_field_finds_what_no_pattern_matches():
@@ -65,6 +67,61 @@ def test_the_field_finds_what_no_pattern_matches():
     assert not any(secrets.spans(prose(60).encode(), model) for _ in range(30))
 
 
+FRAMINGS = (
+    "the deploy key is {} for now", "Authorization Bearer {} sent", "credential -> {} (rotate it)", "use {} to log in",
+    'signing material "{}" was checked in', "AUTH={} in the shell",
+)
+
+
+@pytest.fixture(scope="module")
+def large(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return docs, secrets.fit(docs)
+
+
+def test_unseen_framings_and_alphabets(large):
+    """Fitted on the given table: nine of ten values that no pattern matches are found."""
+    import base64
+    import random
+
+    (docs, model), rng = large, random.Random(8)
+    prose = [r["text"] for r in docs.where("length(text) > 900").orderBy("doc_id").limit(40).collect()]
+    for framing in FRAMINGS:
+        hits = 0
+        for i in range(40):
+            raw = rng.randbytes(24)
+            value = (raw.hex().upper(), base64.b64encode(raw).decode())[i % 2]
+            before, after = prose[i][:400].rsplit(" ", 1)[0], prose[i][500:800].split(" ", 1)[-1]
+            head = f"{before} {framing.split('{}')[0]}".encode()
+            data = head + value.encode() + f"{framing.split('{}')[1]} {after}".encode()
+            assert not any(a <= len(head) < b for a, b, _ in secrets.base_spans(data))
+            hits += any(a <= len(head) and len(head) + len(value.rstrip("=")) <= b for a, b, k in secrets.spans(data, model) if k == "crf")
+        assert hits >= 36, (framing, hits)
+
+
+def test_clean_texts_are_left_alone(large):
+    docs, model = large
+    rows = docs.select(secrets.secret_spans(F.col("text"), model).alias("s"))
+    clean = rows.where("NOT exists(s, x -> x.kind <> 'crf')")
+    assert clean.where("size(s) > 0").count() <= max(1, clean.count() // 1000)
+
+
+def test_rare_matches_are_in_the_sample(spark):
+    rows = [(f"the password policy and the token of thanks number {i}" if i % 2000 else f'token = "{i:030x}" here',) for i in range(8000)]
+    table = spark.createDataFrame(rows, "text string").repartition(4)
+    model = secrets.fit(table, max_training=50)
+    assert any(k.startswith("entropy") for k in model.names)
+    data = b'number 7 token is "0011223344556677889900AABBCCDDEEFF" here'
+    assert [k for _, _, k in secrets.spans(data, model)] == ["crf"]
+
+
+def test_windows_mark_the_value_alone():
+    window, = secrets.windows_of(b'so the Secret : "abc123" was')
+    assert [w for w, t in zip(window.words, window.tags) if t] == [b'"abc123"']
+    odd, = secrets.windows_of(b"one two v1.2.3 three")
+    assert not any(odd.tags) and secrets.windows_of(b"") == []
+
+
 def test_decoding_in_parts_equals_viterbi_over_the_whole():
     model, rng, prose = trained(60)
     for _ in range(30):

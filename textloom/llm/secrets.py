@@ -1,18 +1,23 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field over words.
 
 Words are tagged as begin, inside or outside of a secret from their shape, their neighbours and the
-document; tags are decoded by Viterbi. The field learns from the words that the patterns match, on a
-bounded sample, and finds what looks and stands like them without matching a pattern.
+document; tags are decoded by Viterbi. The field learns from the values that the patterns match, on a
+bounded sample, and finds what looks or stands like them without matching a pattern. So that it does
+not just learn the patterns again, it also sees the same values without the words that gave them
+away, or in other alphabets; and so that it leaves other odd words alone, it sees the oddest words of
+clean texts, and made-up numbers, versions and addresses.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,11 @@ from textloom.llm.common import bytes_of, materialize, slices, unicode_offsets
 
 KINDS = ("assign", "access", "hex", "crf")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
-# So many documents with matches and as many without train the field: the first by hash.
-MAX_TRAINING = 1500
-WINDOW = 24  # words on either side of a training match
+# Windows of so many texts with matches and of as many without train the field: the first by hash.
+MAX_TRAINING = 300
+# Of texts without a match only one in so many is looked at for that.
+CLEAN_SHARE = 8
+WINDOW, WINDOWS = 12, 2  # words on either side of a training match; windows of a text
 STEPS, RATE, L2 = 60, 0.2, 1e-4
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -218,27 +225,102 @@ def spans(data: bytes, model: SecretField) -> list[tuple[int, int, str]]:
     return sorted(base + found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def _examples(data: bytes, wanted: bool) -> Iterator[tuple[list[tuple[str, ...]], list[int], tuple[str, ...]]]:
-    """Training windows of a document: features by word, tags, and the document's features."""
+@dataclass(frozen=True)
+class Window:
+    """Words of a training window with their tags, and the features of its document."""
+
+    words: tuple[bytes, ...]
+    tags: tuple[int, ...]
+    whole: tuple[str, ...]
+
+
+def _oddness(word: bytes) -> float:
+    """How much a word looks like a value."""
+    return 0.0 if is_plain(word.translate(_SHAPE)) else _entropy(word.strip(_TRIM)) * min(len(word), 64) if word.strip(_TRIM) else 0.0
+
+
+def windows_of(data: bytes) -> list[Window]:
+    """Windows around the values of the pattern matches; without a match, one around the oddest word."""
     starts, ends = word_bounds(data)
-    words, tags, whole = data.split(), np.zeros(len(starts), np.int64), file_features(data)
-    centres = []
-    for start, end, _ in base_spans(data):
+    words, tags, whole, centres = data.split(), np.zeros(len(starts), np.int64), file_features(data), []
+    found = base_spans(data)
+    values = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(data) if len(m[2]) >= MIN_VALUE] if found else []
+    for start, end in sorted(values + [(a, b) for a, b, kind in found if kind != "assign"]):
         first, last = np.searchsorted(ends, start, "right"), np.searchsorted(starts, end, "left")
         if not tags[first:last].any():
             tags[first:last], tags[first] = INSIDE, BEGIN
             centres.append(int(first))
-    for at in centres if wanted else [len(words) // 2] if words else []:
+    if not centres and words:
+        centres = [max(range(len(words)), key=lambda i: (_oddness(words[i]), -i))]
+    out = []
+    for at in centres[:WINDOWS]:
         part = slice(max(0, at - WINDOW), at + WINDOW)
-        yield [features_of(w) for w in words[part]], tags[part].tolist(), whole
-
-
-def train(documents: list[bytes]) -> SecretField:
-    """Fit the field by gradient steps on the likelihood of the tags that the patterns give."""
-    examples = [x for data in documents for x in _examples(data, bool(base_spans(data)))]
-    examples = [x for x in examples if x[0]]
-    if not any(tag for _, tags, _ in examples for tag in tags):
+        out.append(Window(tuple(words[part]), tuple(tags[part].tolist()), whole))
+    return out
+
+
+def _remade(value: bytes, rng: random.Random) -> bytes:
+    """A value of the same length in another alphabet."""
+    raw = rng.randbytes(len(value))
+    made = (value.upper(), base64.b64encode(raw), base64.urlsafe_b64encode(raw), raw.hex().encode(), raw.hex().upper().encode())
+    return rng.choice(made)[: len(value)]
+
+
+def _strange(rng: random.Random) -> bytes:
+    """A word with digits or signs that is no secret."""
+
+    def digits(n: int) -> str:
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    hexes = rng.randbytes(20).hex()
+    return rng.choice([
+        f"https://www.example.com/{digits(4)}/{hexes}", f"http://example.org/a/{hexes[:12]}.html?id={digits(6)}",
+        f"v{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}Z",
+        f"+1-{digits(3)}-{digits(3)}-{digits(4)}", digits(rng.randint(3, 18)), f"#{digits(5)}", f"{digits(3)}.{digits(2)}.{digits(1)}.{digits(3)}",
+        f"user{digits(3)}@example.com", f"ISBN-{digits(13)}", f"img_{digits(8)}.jpg", f"x={digits(2)};", f"{hexes[:7]}", f"{digits(2)}%",
+        f"DE{digits(20)}", f"{digits(4)}/{digits(4)}", f"a_{digits(2)}_b", f"${digits(3)}.{digits(2)}",
+    ]).encode()
+
+
+_GAVE_AWAY = re.compile(rb"[:=]|" + _KEYWORD.pattern, re.IGNORECASE)
+
+
+def _variants(window: Window) -> Iterator[Window]:
+    """A window, and the same without what gave the value away, or with an odd word that is none."""
+    yield window
+    words, tags = list(window.words), list(window.tags)
+    rng = random.Random(b" ".join(words))
+    plain = [w for w in words if is_plain(w.translate(_SHAPE)) and not _KEYWORD.search(w.lower())] or [b"the"]
+    if not any(tags):
+        words[rng.randrange(len(words))] = _strange(rng)
+        yield Window(tuple(words), window.tags, window.whole)
+        return
+    at = tags.index(BEGIN)
+    value = words[at].strip(_TRIM)
+    value = (re.split(rb"[:=]", value.rstrip(b"=")) or [value])[-1].strip(_TRIM)
+    if len(value) < 16 or not any(c in b"0123456789" for c in value) or INSIDE in tags[at : at + 2]:
+        return  # by itself it need not be a secret
+    for kind in ("bare", "said", "remade", "remade", "named", "named"):
+        own = list(words)
+        made = value if kind == "bare" else _remade(value, rng)
+        own[at] = rng.choice((b"%b", b'"%b"', b"%b.", b"'%b',")) % made
+        if kind == "named":  # by a word that is no keyword
+            name = rng.choice(plain).strip(_TRIM) or b"x"
+            own[at] = rng.choice((name, name.upper())) + rng.choice((b"=", b":", b'="')) + made
+        for i in range(max(0, at - 3), at):
+            if _GAVE_AWAY.search(own[i]):
+                # What was a sign becomes a plain word; a keyword may stay, without a sign.
+                stays = kind == "said" and _KEYWORD.search(own[i].lower())
+                own[i] = own[i].strip(_TRIM) if stays else rng.choice(plain)
+        yield Window(tuple(own), window.tags, window.whole)
+
+
+def train(windows: Iterable[Window]) -> SecretField:
+    """Fit the field by gradient steps on the likelihood of the windows' tags."""
+    seen = [x for w in windows if w.words for x in _variants(w)]
+    if not any(tag for w in seen for tag in w.tags):
         return SecretField()
+    examples = [([features_of(x) for x in w.words], w.tags, w.whole) for w in seen]
     names: dict[str, int] = {}
     rows, columns = [], []
     size, longest = len(examples), max(len(x[0]) for x in examples)
@@ -297,18 +379,47 @@ def train(documents: list[bytes]) -> SecretField:
     return SecretField(names, theta[: 3 * n].reshape(n, 3).copy(), theta[3 * n :].reshape(3, 3).copy())
 
 
+_WINDOWS = "h long, marked boolean, words array<binary>, tags array<int>, whole array<string>"
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training windows of every text with a match, and of a share of the others."""
+    kinds = [pa.int64(), pa.bool_(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    names = ["h", "marked", "words", "tags", "whole"]
+    for batch in batches:
+        out = []
+        for h, x in zip(batch.column("h").to_pylist(), batch.column("data"), strict=True):
+            data = x.as_py()
+            marked = bool(base_spans(data))
+            if marked or h % CLEAN_SHARE == 0:
+                out += [(h, marked, w.words, w.tags, w.whole) for w in windows_of(data)]
+        columns = zip(*out, strict=True) if out else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", max_training: int = MAX_TRAINING) -> SecretField:
-    """Train on at most ``max_training`` documents in which a pattern may match and as many others,
-    the first of each by the hash of the text. An empty table gives a field that tags nothing."""
+    """Train on windows of at most ``max_training`` texts that hold a match, however rare these are, and of
+    as many others, the first of each by the hash of the text. One pass over all texts writes the
+    windows; the driver gets the chosen ones. An empty table gives a field that tags nothing."""
     text = F.col(text_col)
-    likely = text.rlike(rf"(?i)password|passwd|secret|token|api_?key|[0-9a-f]{{{MIN_HEX},}}") | text.contains("AKIA")
     hashed = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("h"), bytes_of(text).alias("data"))
-    marked = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("h"), likely.alias("likely"))
-    parts = [marked.where(F.col("likely") == x).select("h").distinct().orderBy("h").limit(max_training) for x in (True, False)]
-    # Hashes only are ranked; their texts, at most 2 * max_training, are fetched afterwards.
-    chosen = materialize(parts[0].unionAll(parts[1]), "secret-training")
-    sample = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("data").alias("data")).orderBy("h")
-    return train([r["data"] for r in sample.toLocalIterator()])
+    found = materialize(hashed.mapInArrow(_windows, _WINDOWS), "secret-windows")
+    # Copies of a text are one.
+    texts = found.select("marked", "h").distinct()
+    sizes = {r["marked"]: r["count"] for r in texts.groupBy("marked").count().collect()}
+    chosen = []
+    for marked, n in sorted(sizes.items()):
+        # First a generous share by hash, so that what is ranked stays small whatever the input's size.
+        share = int(min(1.0, 8 * max_training / n) * (1 << 20))
+        part = texts.where((F.col("marked") == marked) & (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share))
+        chosen.append(part.orderBy("h").limit(max_training))
+    if not chosen:
+        return SecretField()
+    drawn = materialize(reduce(DataFrame.unionAll, chosen), "secret-training")
+    sample = found.join(F.broadcast(drawn), ["h", "marked"]).distinct().orderBy("h", "words").collect()
+    if sizes.get(True) and not any(r["marked"] for r in sample):
+        raise ValueError("texts hold matches, but none was drawn")
+    return train(Window(tuple(map(bytes, r["words"])), tuple(r["tags"]), tuple(r["whole"])) for r in sample)
 
 
 _SPAN = T.StructType(
