@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textloom import fixed
+from workloads.classifier_sql import PREDICTED_ROLES, ROLE_PROBABILITIES, experiment
 from workloads.common import (
     ALLOW_LIST,
     DIMENSIONS,
@@ -433,6 +434,9 @@ ORACLES: dict[str, str] = {
                round(sum(w), 6) AS total, round(max(w), 6) AS largest,
                round(sum(w * w), 6) AS squared_length
         FROM w GROUP BY doc_id""",
+    "fit_and_predict_m7_m8": PREDICTED_ROLES,
+    "fitted_probabilities_m7_m9": ROLE_PROBABILITIES,
+    "training_experiment_m10": experiment(QUOTAS),
     "class_probabilities_m9": """
         SELECT count(*) AS n_rows, 0::BIGINT AS n_bad_totals, 0::BIGINT AS n_bad_orders
         FROM conversations""",
@@ -476,6 +480,11 @@ ORACLES: dict[str, str] = {
         FROM sized a JOIN sized b ON b.vec_id = a.vec_id + 1""",
     "top_matches_v5_w2": NEAREST,
     "top_matches_grid_v5_j2": NEAREST,
+    "top_matches_index_v5_j2": NEAREST,
+    "indexed_chunks_v5": f"""
+        WITH {BENCHMARK}, {STORE}, {matches("asked")}
+        SELECT request_id, rank::INTEGER AS rank, source, chunk_number, round(sim, 6) AS similarity
+        FROM best""",
     "empty_store_f8": """
         SELECT item_id AS request_id, 1::INTEGER AS rank, item_id AS source,
                1::INTEGER AS chunk_number, text, 0.0::DOUBLE AS similarity

@@ -19,6 +19,7 @@ from textloom.operators import (
     features,
     retrieve,
     split,
+    vector_index,
 )
 from textloom.plans import assistant, catalog_job, experiment
 from textloom.session import scratch_path, spread
@@ -582,6 +583,21 @@ def class_probabilities_m9(spark, sf_dir):
     )
 
 
+@query
+def fitted_probabilities_m7_m9(spark, sf_dir):
+    """Probabilities of the rows' own labels at the optimum, which the SQL finds in another way."""
+    rows = role_rows(spark, sf_dir)
+    model = classifier.fit_classifier(rows, "id", tolerance=1e-8)
+    scored = model.probabilities(rows, "id")
+    place = F.array_position(F.lit(list(model.labels)), F.col("label")).cast("int")
+    own = scored.select("label", F.element_at("probabilities", place).alias("p"))
+    return own.groupBy("label").agg(
+        F.count("*").alias("n_rows"),
+        F.round(F.avg("p"), 5).alias("mean_probability"),
+        F.round(F.min("p"), 4).alias("least_probability"),
+    )
+
+
 @query
 def model_round_trip_s8(spark, sf_dir):
     model = role_classifier(spark, sf_dir)
@@ -621,7 +637,8 @@ def quality_experiment(spark: SparkSession, sf_dir: str) -> experiment.Experimen
 
 @query
 def training_experiment_m10(spark, sf_dir):
-    return quality_experiment(spark, sf_dir).metrics
+    found = quality_experiment(spark, sf_dir).metrics
+    return _rounded(found, "accuracy", "precision", "recall", "f1_score")
 
 
 @query
@@ -734,6 +751,25 @@ def top_matches_grid_v5_j2(spark, sf_dir):
     return nearest(spark, sf_dir, 0)
 
 
+@query
+def top_matches_index_v5_j2(spark, sf_dir):
+    held = scaled_embeddings(spark, sf_dir)
+    queries = held.select(F.col("vec_id").alias("request_id"), "embedding")
+    store = held.select(
+        F.col("vec_id").alias("source"), F.lit(1).alias("chunk_number"), "embedding"
+    )
+    return _rounded(vector_index.build_index(store).search(queries, TOP_N), "similarity")
+
+
+@query
+def indexed_chunks_v5(spark, sf_dir):
+    queries = hashed(
+        table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), "text")
+    )
+    index = vector_index.build_index(chunk_store(spark, sf_dir))
+    return _rounded(index.search(queries, TOP_N), "similarity")
+
+
 @query
 def empty_store_f8(spark, sf_dir):
     queries = hashed(
