@@ -52,6 +52,44 @@ def test_a_key_with_most_rows_is_reduced_before_the_shuffle(spark):
     assert "partial_min_by" in plan
 
 
+ORDERS = "list_pos int, pos long, small smallint"
+
+
+def test_packed_order_sorts_like_the_columns(spark):
+    numbers = [None, -(2**31), -5, -1, 0, 1, 7, 2**31 - 1]
+    rows = [(a, b, c) for a in numbers for b in [*numbers[1:], 2**63 - 1, -(2**63)] for c in (None, -3, 3)]
+    df = spark.createDataFrame(rows, ORDERS)
+    least = {"list_pos": -(2**31), "pos": -(2**63), "small": -(2**31)}
+    for order in (["pos"], ["list_pos", "small"], ["list_pos", "pos"], ["small"]):
+        found = df.select(*order, catalog.packed_order(df, order).alias("p")).distinct().collect()
+        keys = sorted((tuple(least[c] if r[c] is None else r[c] for c in order), r.p) for r in found)
+        assert [p for _, p in keys] == sorted(p for _, p in keys)
+        assert all((a[0] < b[0]) == (a[1] < b[1]) for a, b in zip(keys, keys[1:]))
+    assert catalog.packed_order(df, ["pos", "pos"]) is None
+    assert catalog.packed_order(df.withColumn("pos", F.lit("x")), ["pos"]) is None
+    with pytest.raises(ValueError, match="do not fit one number"):
+        catalog.resolve_operations(df, ["pos", "pos"])
+
+
+def test_keys_are_resolved_by_a_hash_aggregate_without_texts(operations):
+    keys = catalog.resolve_operations(operations).keys
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan and "description" not in plan.split("Exchange")[0]
+
+
+def test_null_keys_and_ties_keep_one_record(spark, operations):
+    null = operations.where("pos = 0").withColumn("service", F.lit(None).cast("string"))
+    tied = operations.where("pos = 0").withColumn("description", F.lit("another"))
+    rows = operations.union(null).union(null).union(tied).union(tied)
+    resolved = catalog.resolve_operations(rows)
+    kept = catalog.clean_operations(resolved).collect()
+    assert sorted(str((r.service, r.operation)) for r in kept) == [
+        "('example', 'CreateBucket')", "('example', 'DeleteBucket')", "(None, 'CreateBucket')",
+    ]
+    assert tuple(catalog.stage_counts(resolved).first()) == (6, 3, 0, 3)
+    assert {r.description for r in kept if r.service} <= {"Creates a bucket.", "Deletes a bucket.", "another"}
+
+
 def test_catalogue_job_writes_raw_before_clean(spark, tmp_path):
     model = (
         '{"metadata": {"serviceFullName": " S ", "apiVersion": "1"}, "operations": '
