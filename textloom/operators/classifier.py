@@ -7,6 +7,8 @@ the coefficient table and one aggregation per text, so a model is never copied w
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,24 +94,28 @@ class TextClassifier:
         )
 
     def save(self, path: str) -> None:
-        """Write the whole model: the term table and a small table of labels and intercepts."""
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        """Add the whole model to ``path`` as its newest version.
+
+        The term table of a version has a folder of its own; only when it is complete a small file
+        that names it is added. A save that ends half-way leaves the version before in place, and a
+        model can be saved where it was read from.
+        """
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        self.terms.write.mode("errorifexists").parquet(f"{path}/terms/{version}")
+        head = {"version": version, "labels": self.labels, "intercepts": self.intercepts, "n_rows": self.n_rows}
         spark = self.terms.sparkSession
-        head = json.dumps(
-            {"labels": self.labels, "intercepts": self.intercepts, "n_rows": self.n_rows}
-        )
-        spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/head"
-        )
+        spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("append").text(f"{path}/versions")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> TextClassifier:
-        head = json.loads(spark.read.text(f"{path}/head").first().value)
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> TextClassifier:
+        """The newest version at ``path``, or the one named."""
+        heads = {h["version"]: h for r in spark.read.text(f"{path}/versions").collect() for h in [json.loads(r.value)]}
+        head = heads[version or max(heads)]
         return cls(
-            spark.read.parquet(f"{path}/terms"),
+            spark.read.parquet(f"{path}/terms/{head['version']}"),
             tuple(head["labels"]),
             tuple(head["intercepts"]),
-            head.get("n_rows", 0),
+            head["n_rows"],
         )
 
 

@@ -68,11 +68,16 @@ def fitted(rows: str, n_labels: int, name: str = "") -> str:
                  FROM {p}kernel, (SELECT * FROM {p}steps WHERE step = {STEPS}))"""
 
 
-ROLES = fitted(
-    """SELECT row_number() OVER (ORDER BY conv_id, turn) AS i, concat_ws(':', conv_id, turn) AS id, text, role AS label,
-              dense_rank() OVER (ORDER BY role) AS target, 1 AS copies FROM conversations""",
-    3,
-)
+_ROLE_ROWS = """SELECT row_number() OVER (ORDER BY conv_id, turn) AS i, concat_ws(':', conv_id, turn) AS id, text, role AS label,
+              dense_rank() OVER (ORDER BY role) AS target, 1 AS copies FROM conversations"""
+ROLES = fitted(_ROLE_ROWS, 3)
+
+# CTEs ending in ``fitted_roles (id, e, names)``: shares of the labels by request.
+TRAINED_ROLES = f"""{fitted(_ROLE_ROWS, 3, "fit_")},
+    fitted_roles AS (
+      SELECT id, list_transform(m, lambda x: exp(x - list_max(m))) AS e,
+             (SELECT list(label ORDER BY label) FROM (SELECT DISTINCT label FROM fit_rows)) AS names
+      FROM fit_rows JOIN fit_margins USING (i))"""
 
 PREDICTED_ROLES = f"""
     WITH RECURSIVE {ROLES},

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textloom import fixed
-from workloads.classifier_sql import PREDICTED_ROLES, ROLE_PROBABILITIES, experiment
+from workloads.classifier_sql import PREDICTED_ROLES, ROLE_PROBABILITIES, TRAINED_ROLES, experiment
 from workloads.common import (
     ALLOW_LIST,
     DIMENSIONS,
@@ -244,13 +244,17 @@ WHERE rank <= {TOP_N}"""
 
 _ROUTED = " OR ".join(f"contains(lower(user_input), {quoted(m)})" for m in ROUTE_MARKERS)
 
-ANSWERED = f"""
+
+
+def answered(predictions: str, source: str = "asked_all") -> str:
+    """CTEs ending in ``answered``; ``predictions`` gives the ranked list of a row of ``source``."""
+    return f"""
   asked_all AS (SELECT conv_id || ':' || turn AS request_id,
                        CASE WHEN role = 'system' THEN '  ' ELSE text END AS user_input
                 FROM conversations),
   routed AS (SELECT *, {strip("user_input")} = '' AS blank, ({_ROUTED}) AS recommendation,
-                    {_marker_probabilities("user_input")} AS p
-             FROM asked_all),
+                    {predictions} AS p
+             FROM {source}),
   gated AS (SELECT *, CASE WHEN blank THEN '{fixed.REJECTED}'
                            WHEN recommendation AND (-p[1].k < {fixed.MINIMUM_CONFIDENCE}
                                 OR -p[1].k + p[2].k < {fixed.MINIMUM_MARGIN})
@@ -268,8 +272,10 @@ ANSWERED = f"""
                       'Based on ' || c.n_chunks || ' chunks: ' || user_input AS explanation
                FROM gated g LEFT JOIN context c USING (request_id))"""
 
-ANSWER_DIGEST = f"""
-WITH {ANSWERED}
+
+ANSWERED = answered(_marker_probabilities("user_input"))
+
+DIGEST = f"""
 SELECT request_id, recommendation, status, n_chunks::INTEGER AS n_chunks,
        length(context)::INTEGER AS n_characters, md5(context) AS context_md5,
        CASE WHEN status = '{fixed.COMPLETED}'
@@ -280,6 +286,14 @@ SELECT request_id, recommendation, status, n_chunks::INTEGER AS n_chunks,
                 WHEN status = '{fixed.COMPLETED}' THEN {strip("explanation")} END) AS reply_md5
 FROM answered"""
 
+ANSWER_DIGEST = f"WITH {ANSWERED}{DIGEST}"
+
+# Requests classified by the role that a trained classifier gives them.
+TRAINED_DIGEST = f"""
+WITH RECURSIVE {TRAINED_ROLES},
+{answered("(SELECT list_sort(list_transform(range(1, len(e) + 1), lambda j: {'k': -e[j] / list_sum(e), 's': names[j]}))[1:3])", "asked_all LEFT JOIN fitted_roles ON id = request_id")}
+{DIGEST}"""
+
 ORACLES: dict[str, str] = {
     "service_models_s1_p1": PART_OPERATIONS,
     "operations_per_service_a4": f"""
@@ -504,6 +518,8 @@ ORACLES: dict[str, str] = {
         FROM c""",
     "answer_requests_q1_j3": ANSWER_DIGEST,
     "answer_stream_q2": ANSWER_DIGEST,
+    "answer_requests_trained_q1": TRAINED_DIGEST,
+    "answer_requests_model_q1": TRAINED_DIGEST,
     "interaction_log_s10": f"""
         WITH {ANSWERED},
         kinds AS (

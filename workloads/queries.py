@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from textloom.operators import (
     encode,
     evaluate,
     features,
+    ml,
     retrieve,
     split,
     vector_index,
@@ -564,6 +566,11 @@ def role_classifier(spark: SparkSession, sf_dir: str) -> classifier.TextClassifi
     return _FITTED[key]
 
 
+def close_classifier(spark: SparkSession, sf_dir: str) -> classifier.TextClassifier:
+    """Fitted so closely that shown digits do not depend on where the fit stopped."""
+    return classifier.fit_classifier(role_rows(spark, sf_dir), "id", tolerance=1e-8)
+
+
 @query
 def fit_and_predict_m7_m8(spark, sf_dir):
     model = role_classifier(spark, sf_dir)
@@ -587,7 +594,7 @@ def class_probabilities_m9(spark, sf_dir):
 def fitted_probabilities_m7_m9(spark, sf_dir):
     """Probabilities of the rows' own labels at the optimum, which the SQL finds in another way."""
     rows = role_rows(spark, sf_dir)
-    model = classifier.fit_classifier(rows, "id", tolerance=1e-8)
+    model = close_classifier(spark, sf_dir)
     scored = model.probabilities(rows, "id")
     place = F.array_position(F.lit(list(model.labels)), F.col("label")).cast("int")
     own = scored.select("label", F.element_at("probabilities", place).alias("p"))
@@ -809,7 +816,7 @@ def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def marker_assistant(spark: SparkSession, sf_dir: str) -> assistant.Assistant:
+def marker_assistant(spark: SparkSession, sf_dir: str, scorer=None) -> assistant.Assistant:
     def explain(prompts: DataFrame) -> DataFrame:
         return prompts.withColumn(
             "explanation",
@@ -817,7 +824,7 @@ def marker_assistant(spark: SparkSession, sf_dir: str) -> assistant.Assistant:
         )
 
     return assistant.Assistant(
-        classifier=MarkerClassifier(),
+        classifier=MarkerClassifier() if scorer is None else scorer,
         store=chunk_store(spark, sf_dir),
         encode=lambda c: encode.hashed_embedding(c, DIMENSIONS),
         generate=explain,
@@ -844,6 +851,25 @@ def answer_requests_q1_j3(spark, sf_dir):
     return _answer_digest(helper.answer(user_requests(spark, sf_dir)))
 
 
+@query
+def answer_requests_trained_q1(spark, sf_dir):
+    """The same run with a trained classifier, saved and read again."""
+    path = scratch_path(spark, "served-model")
+    close_classifier(spark, sf_dir).save(path)
+    helper = marker_assistant(spark, sf_dir, classifier.TextClassifier.load(spark, path))
+    return _answer_digest(helper.answer(user_requests(spark, sf_dir)))
+
+
+@query
+def answer_requests_model_q1(spark, sf_dir):
+    """The same run with a Spark ML pipeline, fitted, written and read again."""
+    path = scratch_path(spark, "served-pipeline")
+    stages = [ml.TextClassification(textCol="text", labelCol="label", tol=1e-8)]
+    Pipeline(stages=stages).fit(role_rows(spark, sf_dir)).write().overwrite().save(path)
+    helper = marker_assistant(spark, sf_dir, PipelineModel.load(path))
+    return _answer_digest(helper.answer(user_requests(spark, sf_dir)))
+
+
 @query
 def answer_stream_q2(spark, sf_dir):
     folder, answers, log, checkpoint = (
