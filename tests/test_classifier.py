@@ -149,3 +149,17 @@ def test_balanced_weights_enter_the_fit(spark):
     skewed = ROWS + [("Create a bucket for objects", "s3")] * 5
     assert optimality(skewed, fitted(spark, skewed)) < 1e-4
     assert split.balanced_weights(frame(spark, skewed)).count() == 3
+
+
+def test_parts_count_as_their_copies(spark):
+    base, extra = ROWS, [("Please stop the lambda", "lambda"), ("Please list the s3 things", "s3")]
+    parts = [classifier.prepare(frame(spark, rows), "id", number=i) for i, rows in enumerate((base, extra))]
+    full = base + 3 * extra
+    model = classifier.fit_parts(parts, [1, 3])
+    assert model.n_rows == len(full) and optimality(full, model) < 1e-4
+    # The merged frequencies are those of a count of all rows with their copies.
+    counted = classifier.prepare(frame(spark, full), "id").terms
+    merged = classifier.combined_terms(parts, [1, 3])
+    assert sorted(map(tuple, merged.select("term", "df").collect())) == sorted(map(tuple, counted.select("term", "df").collect()))
+    alone = classifier.fit_parts(parts[:1])
+    assert optimality(base, alone) < 1e-4

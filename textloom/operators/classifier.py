@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,6 +207,51 @@ def add_index(stored: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class TrainingPart:
+    """A labelled source, counted once however many models use it: written tables of its rows
+    (``row, label``), their postings (``row, term, tf``) and its terms (``term, df, s1, s2``)."""
+
+    rows: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+
+
+def prepare(
+    training: DataFrame, id_col: str, max_rows: int = MAX_ROWS, number: int = 0
+) -> TrainingPart:
+    """Number and count ``text, label`` rows with a unique ``id_col``.
+
+    Of more than ``max_rows`` rows the same share of each label is used, by hash order. Parts of one
+    model need different numbers.
+    """
+    rows = training.select(id_col, "text", "label")
+    total = rows.count()
+    if total > max_rows:
+        rows = split.stratified_split(rows, id_col, test_share=max_rows / total).test
+    rows = add_index(materialize(rows.select("text", "label"), "training-rows"))
+    row = (F.col("idx") + F.lit(number << 40)).alias("row")
+    rows = materialize(rows.select(row, "text", "label"), "numbered-rows")
+    postings = materialize(features.document_terms(rows, "row"), "postings")
+    terms = materialize(merge_equal_terms(postings, "row"), "vocabulary")
+    return TrainingPart(rows.select("row", "label"), postings, terms)
+
+
+def combined_terms(parts: Sequence[TrainingPart], copies: Sequence[int]) -> DataFrame:
+    """``term, df, s1, s2`` of several parts, the rows of each counting ``copies`` times.
+
+    Document frequencies add up and signatures combine, so no part is counted again.
+    """
+    if len(parts) == 1 and copies[0] == 1:
+        return parts[0].terms
+    scaled = [p.terms.withColumn("df", F.col("df") * n) for p, n in zip(parts, copies, strict=True)]
+    every = reduce(DataFrame.unionByName, scaled)
+    merged = every.groupBy("term").agg(
+        F.sum("df").alias("df"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")
+    )
+    return materialize(merged, "vocabulary")
+
+
 def fit_classifier(
     training: DataFrame,
     id_col: str,
@@ -213,30 +260,41 @@ def fit_classifier(
     tolerance: float = solver.TOLERANCE,
     block_entries: int = solver.BLOCK_ENTRIES,
 ) -> TextClassifier:
-    """Fit on ``text, label`` rows with a unique ``id_col``.
+    """Fit on ``text, label`` rows with a unique ``id_col``; see ``prepare`` and ``fit_parts``."""
+    part = prepare(training, id_col, max_rows)
+    return fit_parts([part], max_iter=max_iter, tolerance=tolerance, block_entries=block_entries)
+
 
-    Of more than ``max_rows`` rows the same share of each label is used, by hash order; the model
-    reports how many. Class weights are those of the rows used. The objective is the weighted
-    log-loss plus half the squared coefficients (a unit inverse penalty). The vocabulary, the
-    features and the fitted terms are written tables, so rounds re-read rather than re-compute; the
-    driver holds the labels, their weights and the intercepts.
+def fit_parts(
+    parts: Sequence[TrainingPart],
+    copies: Sequence[int] | None = None,
+    max_iter: int = fixed.MAX_ITERATIONS,
+    tolerance: float = solver.TOLERANCE,
+    block_entries: int = solver.BLOCK_ENTRIES,
+) -> TextClassifier:
+    """Fit on all rows of the parts, those of a part counting as if they were there ``copies`` times.
+
+    Class weights and document frequencies are those of the rows used, with their copies; the model
+    reports how many. The objective is the weighted log-loss plus half the squared coefficients (a
+    unit inverse penalty). The features and the fitted terms are written tables, so rounds re-read
+    rather than re-compute; the driver holds the labels, their weights and the intercepts.
     """
-    spark = training.sparkSession
-    rows = training.select(id_col, "text", "label")
-    total = rows.count()
-    if total > max_rows:
-        rows = split.stratified_split(rows, id_col, test_share=max_rows / total).test
-    rows = materialize(add_index(materialize(rows.select("text", "label"), "training-rows")), "numbered-rows")
-    class_weights = split.balanced_weights(rows).orderBy("label").collect()
-    labels = tuple(r.label for r in class_weights)
+    copies = [1] * len(parts) if copies is None else list(copies)
+    spark = parts[0].rows.sparkSession
+    rows = reduce(
+        DataFrame.unionByName,
+        [p.rows.withColumn("copies", F.lit(n)) for p, n in zip(parts, copies, strict=True)],
+    )
+    counts = rows.groupBy("label").agg(F.sum("copies").alias("n")).orderBy("label").collect()
+    labels = tuple(r.label for r in counts)
     if None in labels:
         raise ValueError("Training rows need a label.")
     if len(labels) < 2:
         raise ValueError("A classifier needs at least two labels.")
-    n_rows = sum(r.n for r in class_weights)
+    n_rows = sum(r.n for r in counts)
 
-    postings = materialize(features.document_terms(rows, "idx").withColumnRenamed("idx", "row"), "postings")
-    signed = materialize(merge_equal_terms(postings, "row"), "vocabulary")
+    postings = reduce(DataFrame.unionByName, [p.postings for p in parts])
+    signed = combined_terms(parts, copies)
     n_postings = signed.agg(F.sum("df")).first()[0] or 0
     groups = materialize(
         signed.groupBy("df", "s1", "s2").agg(
@@ -256,19 +314,24 @@ def fit_classifier(
         term_bytes,
     )
     found = features.lookup_terms(
-        postings, representatives, ("idx", "idf", "n_terms"), written=True
+        postings, representatives, ("idx", "idf", "n_terms")
     ).withColumn("raw", features.sublinear("tf") * F.col("idf") * F.sqrt("n_terms"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("row")))
     entries = materialize(found.select("row", "idx", (F.col("raw") / length).alias("value")), "features")
     # One entry per label, and the labels are on the driver already.
     targets = F.broadcast(
         spark.createDataFrame(
-            [(r.label, i, float(r.weight)) for i, r in enumerate(class_weights)],
+            [(r.label, i, n_rows / (len(labels) * r.n)) for i, r in enumerate(counts)],
             "label string, target int, weight double",
         )
     )
-    targeted = materialize(rows.join(targets, "label").select(F.col("idx").alias("row"), "target", "weight"), "targets")
-    fitted = solver.fit(entries, targeted, n_scores, tolerance=tolerance, max_iter=max_iter, block_entries=block_entries)
+    targeted = rows.join(targets, "label").select(
+        "row", "target", (F.col("weight") * F.col("copies")).alias("weight")
+    )
+    fitted = solver.fit(
+        entries, materialize(targeted, "targets"), n_scores,
+        tolerance=tolerance, max_iter=max_iter, block_entries=block_entries,
+    )
     per_term = (
         groups.join(fitted.coefficients, "idx")
         .select(

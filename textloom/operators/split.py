@@ -80,8 +80,18 @@ _BUCKET_DIGITS = 4
 
 @dataclass(frozen=True)
 class Split:
-    train: DataFrame
-    test: DataFrame
+    """``parts``: all rows with ``part``, 'train' or 'test', in one scan; the others are its two halves."""
+
+    parts: DataFrame
+    columns: tuple[str, ...]
+
+    @property
+    def train(self) -> DataFrame:
+        return self.parts.where("part = 'train'").select(*self.columns)
+
+    @property
+    def test(self) -> DataFrame:
+        return self.parts.where("part = 'test'").select(*self.columns)
 
 
 def place_key(id_col: str, seed: int) -> Column:
@@ -125,10 +135,10 @@ def stratified_split(
 ) -> Split:
     """Exact stratified hold-out: per label the ``quota`` rows with the smallest hash.
 
-    Rows are counted per (label, hash bucket); whole buckets below the quota go to the test set and
-    whole buckets above it to the training set by a map-side lookup. Only the one bucket per label
-    in which the quota falls is ranked, 1/65,536 of the label's rows, so a label holding a large
-    part of the data is never sorted in one task.
+    Rows are counted per (label, hash bucket). Only the one bucket per label in which the quota falls
+    is ranked, 1/65,536 of the label's rows, so a label holding a large part of the data is never
+    sorted in one task; that gives the last row of the label's test set. Every row then finds its part
+    by comparing itself to its label's last one, in one scan. ``id_col`` is unique.
     """
     # A row without a label belongs to no stratum: better to fail than to lose it in a join.
     no_label = F.raise_error(F.lit("Rows without a label cannot be split.")).cast("string")
@@ -166,21 +176,22 @@ def stratified_split(
     )
     _check_split(edges)
 
-    placed = keyed.join(edges.drop("n", "quota"), "label")
-    edge_rows = placed.where(F.col("_bucket") == F.col("_edge")).withColumn(
-        "_rank", F.row_number().over(W.partitionBy("label").orderBy("_place", id_col))
+    key = F.struct("_place", F.col(id_col).alias("_id"))
+    ranked = keyed.join(edges.select("label", "_edge", "_take"), "label").where(
+        F.col("_bucket") == F.col("_edge")
     )
-    test = (
-        placed.where(F.col("_bucket") < F.col("_edge"))
-        .select(*df.columns)
-        .unionByName(edge_rows.where(F.col("_rank") <= F.col("_take")).select(*df.columns))
+    rank = F.row_number().over(W.partitionBy("label").orderBy("_place", id_col))
+    last = ranked.withColumn("_rank", rank).where(F.col("_rank") == F.col("_take"))
+    # A label without a quota has no last row: all of it is for training.
+    last = materialize(
+        edges.select("label").join(last.select("label", key.alias("_last")), "label", "left"),
+        "split-last",
     )
-    train = (
-        placed.where(F.col("_bucket") > F.col("_edge"))
-        .select(*df.columns)
-        .unionByName(edge_rows.where(F.col("_rank") > F.col("_take")).select(*df.columns))
+    is_test = F.coalesce(key <= F.col("_last"), F.lit(False))
+    parts = keyed.join(last, "label").select(
+        *df.columns, F.when(is_test, F.lit("test")).otherwise(F.lit("train")).alias("part")
     )
-    return Split(train=train, test=test)
+    return Split(parts, tuple(df.columns))
 
 
 def _check_split(edges: DataFrame) -> None:

@@ -493,12 +493,9 @@ def unknown_labels_j1_u3(spark, sf_dir):
 
 @query
 def stratified_split_w4(spark, sf_dir):
-    parts = split.stratified_split(
+    return split.stratified_split(
         labelled(spark, sf_dir).select("doc_id", "label"), "doc_id"
-    )
-    return parts.train.withColumn("part", F.lit("train")).unionByName(
-        parts.test.withColumn("part", F.lit("test"))
-    )
+    ).parts
 
 
 @query
