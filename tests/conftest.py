@@ -18,8 +18,8 @@ def spark():
 @pytest.fixture
 def operations(spark):
     rows = [
-        ("example", "Example Storage Service", "2026-01-01", "CreateBucket", "<p>Creates a bucket.</p>", 0, 0),
-        ("example", "Example Storage Service", "2026-01-01", "DeleteBucket", "<p>Deletes a bucket.</p>", 0, 1),
+        ("example", "Parcel Sorting", "v7", "WeighParcel", "<p>Weighs a parcel.</p>", 0, 0),
+        ("example", "Parcel Sorting", "v7", "RouteParcel", "<p>Routes a parcel.</p>", 0, 1),
     ]
     return spark.createDataFrame(
         rows,

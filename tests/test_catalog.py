@@ -12,18 +12,18 @@ def cleaned(records):
 
 def test_values_are_standardised(operations):
     padded = operations.where("pos = 0").withColumns(
-        {"service": F.lit(" S3 "), "operation": F.lit(" CreateBucket ")}
+        {"service": F.lit(" S3 "), "operation": F.lit(" WeighParcel ")}
     )
     row = cleaned(padded).first()
-    assert (row.service, row.operation, row.description) == ("s3", "CreateBucket", "Creates a bucket.")
+    assert (row.service, row.operation, row.description) == ("s3", "WeighParcel", "Weighs a parcel.")
 
 
 def test_duplicates_keep_the_first_and_case_matters(spark, operations):
     more = operations.where("pos = 0").withColumns({"pos": F.lit(5), "description": F.lit("later")})
-    other = operations.where("pos = 0").withColumns({"pos": F.lit(6), "operation": F.lit("createbucket")})
+    other = operations.where("pos = 0").withColumns({"pos": F.lit(6), "operation": F.lit("weighparcel")})
     rows = cleaned(operations.union(more).union(other)).collect()
     assert {(r.operation, r.description) for r in rows} == {
-        ("CreateBucket", "Creates a bucket."), ("DeleteBucket", "Deletes a bucket."), ("createbucket", "Creates a bucket."),
+        ("WeighParcel", "Weighs a parcel."), ("RouteParcel", "Routes a parcel."), ("weighparcel", "Weighs a parcel."),
     }
 
 
@@ -32,7 +32,7 @@ def test_an_empty_record_does_not_hide_a_later_good_one(operations):
     resolved = catalog.resolve_operations(operations.union(empty))
     assert catalog.clean_operations(resolved).count() == 2
     removed = [tuple(r) for r in catalog.removed_operations(resolved).collect()]
-    assert removed == [("example", "CreateBucket", "empty", 1)]
+    assert removed == [("example", "WeighParcel", "empty", 1)]
     assert tuple(catalog.stage_counts(resolved).first()) == (3, 2, 1, 0)
 
 
@@ -84,10 +84,10 @@ def test_null_keys_and_ties_keep_one_record(spark, operations):
     resolved = catalog.resolve_operations(rows)
     kept = catalog.clean_operations(resolved).collect()
     assert sorted(str((r.service, r.operation)) for r in kept) == [
-        "('example', 'CreateBucket')", "('example', 'DeleteBucket')", "(None, 'CreateBucket')",
+        "('example', 'RouteParcel')", "('example', 'WeighParcel')", "(None, 'WeighParcel')",
     ]
     assert tuple(catalog.stage_counts(resolved).first()) == (6, 3, 0, 3)
-    assert {r.description for r in kept if r.service} <= {"Creates a bucket.", "Deletes a bucket.", "another"}
+    assert {r.description for r in kept if r.service} <= {"Weighs a parcel.", "Routes a parcel.", "another"}
 
 
 def test_catalogue_job_writes_raw_before_clean(spark, tmp_path):

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from textloom import fixed
 from textloom.checks import require_columns
+from textloom.sources.files import read_files
 
 MODEL_SCHEMA = T.StructType(
     [
@@ -40,39 +41,29 @@ ALL_SERVICES = "*"
 BROADCAST_LIST_LENGTH = 10_000
 
 
-def source_name() -> Column:
-    """Bare, decoded name of the file a row came from."""
-    # url_decode would also turn "+" into a space, so it is escaped first.
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-
-
 def read_service_models(
     spark: SparkSession, folder: str, services: Sequence[str] | None = None
 ) -> DataFrame:
     """Parsed models plus ``list_pos`` from the files ``<folder>/<service>.json``.
 
     Only the files of the listed services are opened, each once; ``list_pos`` is the place in the
-    list, so a name that is listed twice has its rows twice, and a name without a file fails at once.
+    list, so a name that is listed twice has its rows twice, and a name without a file fails the job.
     ``None`` means the default list, ``ALL_SERVICES`` every JSON file of the folder, by name.
     """
     services = fixed.DEFAULT_SERVICES if services is None else services
     if not services:
         empty = spark.createDataFrame([], "service string, model string, list_pos int")
         return parse_service_models(empty)
-    whole = services == ALL_SERVICES
-    paths = [folder] if whole else [f"{folder}/{name}.json" for name in dict.fromkeys(services)]
-    files = spark.read.text(paths, wholetext=True, pathGlobFilter="*.json")
-    models = files.select(
-        F.regexp_replace(source_name(), r"\.json$", "").alias("service"),
-        F.col("value").alias("model"),
+    if services != ALL_SERVICES:
+        files = read_files(spark, folder, ".json", names=services)
+        return parse_service_models(files.select(F.col("name").alias("service"), F.col("text").alias("model"), "list_pos"))
+    models = read_files(spark, folder, ".json").select(
+        F.regexp_replace("name", r"\.json$", "").alias("service"), F.col("text").alias("model")
     )
-    if whole:
-        # Names only, one per file, meet in the task that numbers them.
-        names = models.select("service").distinct()
-        place = F.row_number().over(W.orderBy("service")) - 1
-        models = models.join(names.withColumn("list_pos", place.cast("int")), "service")
-    else:
-        models = _positioned(models, services)
+    # Names only, one per file, meet in the task that numbers them.
+    names = models.select("service").distinct()
+    place = F.row_number().over(W.orderBy("service")) - 1
+    models = models.join(names.withColumn("list_pos", place.cast("int")), "service")
     return parse_service_models(models)
 
 
