@@ -15,7 +15,7 @@ def test_permute_is_a_permutation(size):
     assert sorted(pii.permute(i, size, KEY) for i in range(size)) == list(range(size))
 
 
-def test_values_outside_of_the_domain_are_refused():
+def test_values_outside_of_the_domain_are_refused(spark):
     with pytest.raises(ValueError):
         pii.permute(5, 5, KEY)
     with pytest.raises(ValueError):
@@ -96,3 +96,29 @@ def test_a_value_after_an_iban_is_still_found():
     assert done(f"{a} {b}") == f"{done(a)} {done(b)}"
     spaced = "AT61 1904 3002 3457 3201"
     assert done(f"{a} {spaced}") == f"{done(a)} {done(spaced)}"
+
+
+def test_key_of_the_session(spark):
+    assert pii.session_key(spark) == pii.DEFAULT_KEY  # a local session
+    spark.conf.set(pii.KEY_SETTING, "another key")
+    try:
+        assert pii.session_key(spark) == b"another key"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="secret key"):
+        pii.session_key(Cluster)
+
+
+def test_small_dates_are_read_day_first():
+    # 25 December has no other reading; 4 March and 3 April differ, so one of them is meant.
+    days = [pii.replace(text, pii.DEFAULT_KEY)[0] for text in (b"04/03/2024", b"2024-03-04")]
+    year_first = days[1].split(b"-")
+    assert [int(x) for x in days[0].split(b"/")] == [int(x) for x in year_first[::-1]]

@@ -84,3 +84,14 @@ def test_deduplicate_keeps_one_of_each_group(edge_docs, no_docs):
 def test_xxhash_is_the_one_of_spark(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("née à b"))).first()[0]
     assert row % 2**64 == xxhash.xxh64_intdigest("née à b".encode(), 42)
+
+
+def test_of_rows_with_one_id_the_same_stays_for_any_order(spark):
+    rows = [(1, "one two three four", "a", 5), (1, "one two three four", "b", 5), (1, "other words here now", "c", 5), (2, "more of it then", "d", 5)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "doc_id long, text string, __place string, __stay int").repartition(3)
+        found = simhash.deduplicate(table)
+        assert found.columns == table.columns
+        kept.append(sorted(tuple(r) for r in found.collect()))
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 2]

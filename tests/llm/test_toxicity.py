@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -45,3 +46,48 @@ def test_one_label_or_none_gives_the_share(spark, edge_docs):
     for rows in (labels, labels.limit(0)):
         model = toxicity.fit(edge_docs, rows)
         assert len(model.features) == 0 and edge_docs.select(model.score(F.col("text")).alias("s")).where("s >= 0.3").count() == 0
+
+
+def plain_grams(text):
+    """Hashes of all 3- to 5-grams, by their definition."""
+    padded = f" {' '.join(text.lower().split())} "
+    if padded == "  ":
+        return set()
+    out, mask = set(), 0xFFFFFFFF
+    for order in toxicity.ORDERS:
+        for i in range(len(padded) - order + 1):
+            h = ord(padded[i])
+            for c in padded[i + 1 : i + order]:
+                h = (h * 0x01000193 & mask) ^ ord(c)
+            out.add(((h ^ h >> 15) * 0x9E3779B1 & mask) >> (32 - toxicity.HASH_BITS))
+    return out
+
+
+def test_ratios_and_scores_against_plain_python(spark):
+    bad, good = ("you awful stinker number {}", "such a stinker he is {}"), ("the garden was quiet on day {}", "seven lights in house {}")
+    rows = [(i, (bad if i % 3 == 0 else good)[i % 2].format(i), int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    counts = {}
+    for _, text, label in rows:
+        for gram in plain_grams(text):
+            counts.setdefault(gram, [0, 0])[label] += 1
+    n = [60, 30]
+
+    def ratio(gram):
+        n0, n1 = counts[gram]
+        return math.log((n1 + 1) / (n[1] + 2)) - math.log((n0 + 1) / (n[0] + 2))
+
+    def clear(gram):
+        n0, n1 = counts[gram]
+        return abs(ratio(gram)) / math.sqrt(1 / (n0 + 1) + 1 / (n1 + 1))
+
+    wanted = sorted(counts, key=lambda g: (-clear(g), g))[: max(toxicity.MIN_FEATURES, sum(clear(g) >= toxicity.CLEAR for g in counts))]
+    assert sorted(wanted) == model.features.tolist()
+    weight = dict(zip(model.features.tolist(), model.weights, strict=True))
+    # The weights are those of a stationary point of the penalised loss over the scaled features.
+    for r in docs.withColumn("score", model.score(F.col("text"))).collect():
+        margin = model.bias + sum(weight.get(g, 0.0) for g in plain_grams(r["text"]))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-margin)), rel_tol=1e-6)
+    assert all(r["score"] > 0.5 for r in docs.withColumn("score", model.score(F.col("text"))).where("text LIKE '%stinker%'").collect())

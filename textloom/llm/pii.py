@@ -15,14 +15,16 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from textloom.llm.common import slices
 
 ROUNDS = 8
+# Only for tests and trial runs on one machine: whoever knows the key can undo the permutation.
 DEFAULT_KEY = b"textloom pseudonyms"
+KEY_SETTING = "spark.textloom.pii.key"
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 # Each pattern starts with a plain class, which the regular expression engine can search for fast;
@@ -253,12 +255,24 @@ def replace(data: bytes, key: bytes) -> tuple[bytes, int]:
     return b"".join([*parts, data[at:]]) if found else data, len(found)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's setting ``spark.textloom.pii.key``. Only a local session may do without."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key:
+        return key.encode()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {KEY_SETTING} to a secret key of 1 to 64 bytes.")
+    return DEFAULT_KEY
+
+
 def pseudonymise(text: Column, key: bytes = DEFAULT_KEY) -> Column:
     """Struct of ``text`` with personal values replaced and ``n_values``, their number (long).
 
     Replaced are mail addresses (the part before the at sign), IBANs and card numbers with right
     check digits, US social security numbers, dates from 1900 to 2099, phone numbers and IPv4
-    addresses. Everything else stays as it is, byte by byte. A null text stays null with 0 values;
+    addresses. A date of two small numbers and a year is read day first (03/04/2024 is 3 April).
+    Where patterns overlap, the value that begins first is taken, of those that begin together the
+    longest. Everything else stays as it is, byte by byte, in texts of any length. A null text stays null with 0 values;
     equal texts give equal results. ``key`` (1 to 64 bytes) selects the permutation; keep it secret.
     """
     if not 1 <= len(key) <= 64:

@@ -194,13 +194,21 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest id.
 
-    Rows that share an id are one document, of which one row stays. Rows with a null id can't be told
-    apart from copies of other rows; all of them stay. All columns pass through.
+    Rows that share an id are one document, of which one row stays: that with the smallest hash of the
+    text, then of all columns, so that equal rows alone are chosen by chance. Rows with a null id can't
+    be told apart from copies of other rows; all of them stay. All columns pass through.
     """
     named = docs.where(F.col(id_col).isNotNull())
     found = near_duplicates(named, id_col=id_col, text_col=text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
-    kept = named.join(stay, F.col(id_col) == F.col("__stay"), "left_semi")
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    kept = kept.withColumn("__place", place).where("__place = 1").drop("__place")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = named.join(stay, id_col, "left_semi")
+    nameless = docs.where(F.col(id_col).isNull())
+    # Ids alone tell whether any is repeated; only rows of those are compared.
+    repeated = materialize(named.groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns).unionByName(nameless)
+    order = F.struct(F.xxhash64(text_col), F.xxhash64(*docs.columns))
+    rows = kept.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    once = kept.join(repeated, id_col, "left_anti")
+    once = once.select(*docs.columns)
+    return once.unionByName(rows.select("__row.*")).unionByName(nameless)
