@@ -311,6 +311,15 @@ ORACLES: dict[str, str] = {
     "intent_csv_s4_p5": f"""
         SELECT {strip("'  ' || lang || ' '")} AS service,
                md5({strip("text")}) AS description_md5 FROM documents""",
+    "intent_problems_f3_f4": """
+        SELECT 0::BIGINT AS null_service,
+               count_if(lang IN ('de', 'fr') OR source = 'src3')::BIGINT AS null_description,
+               count_if(lang = 'es')::BIGINT AS blank_service, 0::BIGINT AS blank_description
+        FROM documents""",
+    "listing_order_o1": """
+        SELECT source AS service, 'A' || count(*) AS operation,
+               (row_number() OVER (ORDER BY source) - 1)::INTEGER AS list_pos
+        FROM documents GROUP BY source""",
     "text_corpus_s5": f"""
         SELECT sum(len({words("text")}))::BIGINT AS n_words,
                sum(length(text) + 1)::BIGINT AS n_characters FROM documents""",

@@ -151,6 +151,54 @@ def intent_csv_s4_p5(spark, sf_dir):
     return intents.select("service", F.md5("description").alias("description_md5"))
 
 
+@query
+def intent_problems_f3_f4(spark, sf_dir):
+    """Missing and blank values of a CSV: three spellings of missing, blanks in one language."""
+    path = scratch_path(spark, "intents")
+    lang = F.col("lang")
+    missing = F.when(lang == "de", "NA").when(lang == "fr", "").when(F.col("source") == "src3", "null")
+    rows = documents(spark, sf_dir).select(
+        F.when(lang == "es", F.lit(" \t")).otherwise(lang).alias("service"),
+        F.coalesce(missing, F.concat(F.lit(' "'), "text", F.lit('"'))).alias("description"),
+    )
+    rows.write.csv(
+        path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    return tables.intent_problems(tables.load_intents(spark, path, validate=False))
+
+
+@query
+def listing_order_o1(spark, sf_dir):
+    """Models of a folder in the order of its listing: one file for every source, by name."""
+    path = scratch_path(spark, "models")
+    texts = documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    model = F.format_string(
+        '{"metadata": {"serviceFullName": "%s", "apiVersion": "1"}, "operations": {"A%d": {}}}', "source", "n"
+    )
+    named = texts.select(model.alias("value"), "source")
+    _write_named_files(named, path)
+    read = models.read_service_models(spark, path, models.ALL_SERVICES)
+    return catalog.extract_operations(read).select("service", "operation", "list_pos")
+
+
+def _write_named_files(named: DataFrame, folder: str) -> None:
+    """A file ``<source>.json`` for every row, written by the tasks to a folder that all can reach."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for value, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{source}.json") as file:
+                    file.write(value.encode())
+            yield batch
+
+    named.mapInArrow(write, named.schema).write.format("noop").mode("overwrite").save()
+
+
 @query
 def text_corpus_s5(spark, sf_dir):
     path = scratch_path(spark, "corpus")
