@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,16 @@ def test_query_against_brute_force(spark, sf):
     assert result(found) == plain(rows)
 
 
+def test_query_equals_its_sql(spark):
+    path = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
+    found = connection.execute(queries.SQL["op12_hard_negatives"])
+    names = [d[0] for d in found.description]
+    rows = queries.op12_hard_negatives(spark, path)
+    assert rows.columns == names and result(rows) == sorted(found.fetchall())
+
+
 def test_edge_rows_ties_and_repeats(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)], rng.choice([1, 2, 3])) for i in range(300)]
