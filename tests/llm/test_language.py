@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from textloom.llm import language, queries
@@ -69,3 +71,75 @@ def test_copies_do_not_thin_the_texts_of_a_label(spark):
     once = language.fit_text(copies.limit(1).unionAll(others).select("text", lang), max_texts=250)
     # Copies are one text, so they change nothing.
     assert (many.table == once.table).all() and len(set(many.table[:, 0])) > 2
+
+
+def plain_fusion(rows, languages):
+    """Posterior and language by dictionaries; rows (evidence, known declaration, host)."""
+    silent = [not any(e) for e, _, _ in rows]
+    by_text = ["und" if s else [*languages, "und"][max(range(len(e)), key=lambda i: (e[i], -i))] for (e, _, _), s in zip(rows, silent)]
+    every = {x: by_text.count(x) + 1.0 for x in languages}
+    everywhere = {x: n / sum(every.values()) for x, n in every.items()}
+
+    def smoothed(members, parent):
+        n = {x: sum(by_text[i] == x for i in members) for x in languages}
+        return {x: (n[x] + language.PRIOR_WEIGHT * parent[x]) / (sum(n.values()) + language.PRIOR_WEIGHT) for x in languages}
+
+    def where(test):
+        return [i for i, (_, _, host) in enumerate(rows) if host is not None and test(host)]
+
+    def prior(host):
+        if host is None:
+            return everywhere
+        domain, suffix, parent = ".".join(host.split(".")[-2:]), host.split(".")[-1], everywhere
+        if "." in host:
+            parent = smoothed(where(lambda h: "." in h and h.split(".")[-1] == suffix), parent)
+        parent = smoothed(where(lambda h: ".".join(h.split(".")[-2:]) == domain), parent)
+        return smoothed(where(lambda h: h == host), parent)
+
+    out = []
+    for (evidence, declared, host), mute in zip(rows, silent):
+        said = {x: 1.0 for x in languages}
+        if declared is not None:
+            n = {x: sum(by_text[i] == x and rows[i][1] == declared for i in range(len(rows))) for x in languages}
+            said = {x: (n[x] + (5.0 if x == declared else 0.5)) / (every[x] + 5.0) for x in languages}
+        before = prior(host)
+        joint = [e + math.log(before[x] * (1 - language.UNKNOWN_PRIOR)) + math.log(said[x]) for e, x in zip(evidence, languages)]
+        joint.append(evidence[-1] + math.log(sum(said.values()) / len(languages)) + math.log(language.UNKNOWN_PRIOR))
+        best = max(joint)
+        lang = "und" if mute else [*languages, "und"][joint.index(best)]
+        out.append((lang, 1 / sum(math.exp(j - best) for j in joint)))
+    return out
+
+
+def test_posteriors_against_plain_python(spark, docs):
+    """Text, declaration and dotted hosts, with nulls, unknown languages and hosts of one row."""
+    model = language.fit_text(docs)
+    hosts = ["a.news.de", "b.news.de", "x.org", "y.shop.fr", "z.shop.fr", "plain", None, "only.one.es"]
+    n = F.col("doc_id")
+    table = docs.select(
+        "doc_id", F.when(n % 9 == 0, "?! 12").otherwise(F.substring("text", 1, 40)).alias("text"),
+        F.when(n % 5 == 0, None).when(n % 7 == 0, "xx").when(n % 4 == 0, "EN-us").otherwise(F.col("lang")).alias("declared"),
+        F.element_at(F.array(*[F.lit(h) for h in hosts]), (n % 8 + 1).cast("int")).alias("host"),
+    )
+    table = spark.createDataFrame(table.collect(), table.schema)
+    found = language.identify(table, model, text=F.col("text"), declared=F.col("declared"), host=F.col("host"))
+    got = {r["doc_id"]: r["language"] for r in found.collect()}
+    seen = table.withColumn("e", model.evidence(F.col("text"))).orderBy("doc_id").collect()
+
+    def known(declared):
+        short = None if declared is None else declared.lower().split("-")[0]
+        return short if short is None or short in model.languages else "other"
+
+    wanted = plain_fusion([(list(r["e"]), known(r["declared"]), r["host"]) for r in seen], model.languages)
+    for r, (lang, posterior) in zip(seen, wanted, strict=True):
+        assert got[r["doc_id"]]["lang"] == lang and math.isclose(got[r["doc_id"]]["posterior"], posterior, rel_tol=1e-9)
+    assert len({lang for lang, _ in wanted}) == len(model.languages) + 1
+
+
+def test_text_alone_on_rows_not_seen_in_training(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    part = F.pmod(F.xxhash64("text"), F.lit(2))
+    model = language.fit_text(docs.where(part == 0))
+    found = language.identify(docs.where(part == 1), model, text=F.col("text"))
+    right = found.select(F.avg((F.col("language.text_lang") == F.col("lang")).cast("int"))).first()[0]
+    assert right >= 0.99
