@@ -23,6 +23,20 @@ SESSION_DEFAULTS = {
 }
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    Needed where it is neither installed for the workers nor in their working folder; of no effect on
+    a cluster whose executors do not have that folder.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and benches on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("textloom")
@@ -37,7 +51,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return importable(spark)
 
 
 def scratch_root(spark: SparkSession) -> str:
