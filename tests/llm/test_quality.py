@@ -91,3 +91,32 @@ def test_noise_is_rejected_and_fluent_text_of_more_scripts_stays():
         "यह एक साधारण वाक्य है जिसमें कई शब्द हैं और जो हिन्दी में लिखा गया है ताकि जाँच हो सके।",
     ):
         assert quality.measure(text, path)[-1], text
+
+
+def test_fertility_and_verdict_against_plain_python(spark, docs):
+    import math
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(quality.VOCABULARY))
+    for r in docs.withColumn("q", quality.quality(F.col("text"))).collect():
+        text, q = r["text"] or "", r["q"]
+        ids = pieces.encode(text)
+        counts = Counter(ids)
+        entropy = sum(-n / len(ids) * math.log2(n / len(ids)) for n in counts.values())
+        chars = sum(c not in " \t\n\x0b\x0c\r" for c in text)
+        per_token = chars / max(1, len(ids))
+        byte_share = sum(pieces.is_byte(i) for i in ids) / max(1, len(ids))
+        assert q["n_tokens"] == len(ids) and math.isclose(q["token_entropy"], entropy, abs_tol=1e-9)
+        assert math.isclose(q["chars_per_token"], per_token) and math.isclose(q["byte_share"], byte_share)
+        letters = [c for c in text if c.isalpha()]
+        marked = sum(ord(c) > 127 for c in letters) > quality.MARKED_SHARE * len(letters)
+        assert q["script"] == ("latin" if letters else "other")
+        band = quality.BANDS["latin_marked" if marked else "latin"]
+        fits = bool(letters) and len(letters) >= quality.MIN_LETTER_SHARE * chars
+        fits = fits and band.min_chars <= per_token <= band.max_chars and byte_share <= band.max_byte_share
+        if len(ids) >= quality.MIN_TOKENS_FOR_ENTROPY:
+            fits = fits and band.min_entropy <= entropy <= band.max_bits * per_token
+        assert q["kept"] == (fits and not q["base_failed"])
