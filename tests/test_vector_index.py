@@ -54,3 +54,16 @@ def test_bounds_spare_work_where_few_axes_matter():
 
 def test_levels():
     assert level_ends(64) == [16, 32, 48, 64] and level_ends(1) == [1] and level_ends(0) == [0]
+
+
+def test_level_rows_are_cut_before_they_become_python_objects(monkeypatch):
+    from textloom.operators import vector_index
+
+    seen = []
+    monkeypatch.setattr(vector_index, "sorted", lambda x: seen.append(len(x)) or sorted(x), raising=False)
+    rows = np.tile([[1.0, 0.0]], (3000, 1))
+    search = BoundedSearch(np.array([[0.0, 0.0], [1.0, 0.0]]), 5)
+    search.offer(rows, [(i,) for i in range(3000)])
+    assert [[k for _, (k,) in held] for held in search.best] == [list(range(5))] * 2
+    # At most n held ones and n new ones meet.
+    assert max(seen) <= 10

@@ -30,6 +30,8 @@ LEVELS = (1 / 4, 1 / 2, 3 / 4)
 _FEW = 0.15
 # Pairs at once, and rows of the first tile of a task.
 _TILE, _FIRST = 1 << 20, 256
+# Queries that are searched for together: with the first tile, they set what a task holds.
+_TOGETHER = 4096
 # What rounding may cost a bound; similarities are compared to SIMILARITY_DIGITS places.
 _SLACK = 10.0**-SIMILARITY_DIGITS
 
@@ -62,6 +64,7 @@ class BoundedSearch:
         self._step = _FIRST
 
     def offer(self, rows: np.ndarray, keys: list[tuple]) -> None:
+        """Rows in the order of their keys."""
         largest, start = max(_FIRST, _TILE // max(1, len(self.queries))), 0
         while start < len(rows):
             self._tile(rows[start : start + self._step], keys[start : start + self._step])
@@ -102,6 +105,8 @@ class BoundedSearch:
         for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
             if len(part):
                 query = q[part[0]]
+                # However many rows are level, the first n of them by key are enough.
+                part = part[np.argsort(-scores[part], kind="stable")[: self.top_n]]
                 new = [(-s, keys[i]) for s, i in zip(scores[part].tolist(), r[part].tolist(), strict=True)]
                 held = self.best[query] = sorted(self.best[query] + new)[: self.top_n]
                 if len(held) == self.top_n:
@@ -167,13 +172,17 @@ class VectorIndex:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, turned = shared.value
-            search = BoundedSearch(turned, top_n)
+            searches = [BoundedSearch(turned[at : at + _TOGETHER], top_n) for at in range(0, len(turned), _TOGETHER)]
             for batch in batches:
                 if len(batch) and len(turned):
+                    batch = batch.sort_by([(name, "ascending") for name in KEY])
                     keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                    search.offer(_matrix(batch.column(2)), keys)
-            at = [i for i, held in enumerate(search.best) for _ in held]
-            held = [(*key, -s) for rows in search.best for s, key in rows]
+                    rows = _matrix(batch.column(2))
+                    for search in searches:
+                        search.offer(rows, keys)
+            best = [held for search in searches for held in search.best]
+            at = [i for i, held in enumerate(best) for _ in held]
+            held = [(*key, -s) for rows in best for s, key in rows]
             columns = list(zip(*held, strict=True)) or [()] * 3
             taken = ids.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
