@@ -201,3 +201,15 @@ def test_confusion_sink_replaces_only_its_partitions(spark, tmp_path):
     for variant, n in (("pre", 1), ("post", 2), ("pre", 3)):
         tables.write_confusion(matrix(variant, n), path)
     assert {(r.variant, r.n) for r in spark.read.parquet(path).collect()} == {("pre", 3), ("post", 2)}
+
+
+def test_a_task_hands_over_files_in_bounded_batches(tmp_path, monkeypatch):
+    from textloom.sources import files
+
+    monkeypatch.setattr(files, "BATCH_CHARACTERS", 3000, raising=False)
+    for i in range(8):
+        (tmp_path / f"{i}.txt").write_text("x" * (900 if i else 5000))
+    reader = files.WholeTextFiles({"path": str(tmp_path), "suffix": ".txt"}).reader(None)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) > 3 and all(len(b) <= 3 for b in batches)
+    assert sorted(n for b in batches for n in b.column(0).to_pylist()) == [f"{i}.txt" for i in range(8)]

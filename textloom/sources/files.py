@@ -17,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FORMAT = "whole_text_files"
 # Files that one task opens, about, where the number of files is known.
 FILES_PER_TASK = 200
+# Characters of a batch that a task hands over; one longer file is a batch of its own.
+BATCH_CHARACTERS = 8_000_000
 
 
 class _Share(InputPartition):
@@ -60,7 +62,26 @@ class _Reader(DataSourceReader):
         listed = list(enumerate(self.names))
         return [_Share(i, tasks, [x for x in listed if zlib.crc32(x[1].encode()) % tasks == i]) for i in range(tasks)]
 
-    def read(self, partition: _Share) -> Iterator[tuple]:
+    def read(self, partition: _Share) -> Iterator:
+        """Arrow batches bounded by their characters: Spark's own batches of rows hold 10,000 files."""
+        import pyarrow as pa
+
+        kinds = pa.schema([("name", pa.string()), ("text", pa.string()), ("list_pos", pa.int32())])
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+
+        rows, size = [], 0
+        for row in self._files(partition):
+            if rows and size + len(row[1]) > BATCH_CHARACTERS:
+                yield batch(rows)
+                rows, size = [], 0
+            rows.append(row)
+            size += len(row[1]) + 100
+        if rows:
+            yield batch(rows)
+
+    def _files(self, partition: _Share) -> Iterator[tuple]:
         from pyarrow import fs
 
         system, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
