@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values give way to pseudonyms."""
     text_batches(spark)
-    done = docs.withColumn("__done", pii.pseudonymise(F.col("text"), pii.session_key(spark)))
+    done = docs.withColumn("__done", pii.pseudonymise(F.col("text"), pii.job_key(spark)))
     return _measured(done.withColumn("text", F.col("__done.text")).drop("__done"))
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textloom.llm import pii, queries
 
 KEY = b"a test key"
@@ -122,3 +123,43 @@ def test_small_dates_are_read_day_first():
     days = [pii.replace(text, pii.DEFAULT_KEY)[0] for text in (b"04/03/2024", b"2024-03-04")]
     year_first = days[1].split(b"-")
     assert [int(x) for x in days[0].split(b"/")] == [int(x) for x in year_first[::-1]]
+
+
+def test_a_cluster_without_a_key_gets_one_of_the_application(spark):
+    assert pii.job_key(spark) == pii.DEFAULT_KEY  # a local session
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app-1"
+
+    class Other(Cluster):
+        class sparkContext:
+            master, applicationId = "yarn", "app-2"
+
+    own = pii.job_key(Cluster)
+    assert own == pii.job_key(Cluster) and 1 <= len(own) <= 64
+    assert len({own, pii.job_key(Other), pii.DEFAULT_KEY}) == 3
+
+    class Docs:
+        def withColumn(self, name, column):
+            raise InterruptedError
+
+    class Setting(Cluster):
+        class conf(Cluster.conf):
+            get = staticmethod(lambda name, default=None: "1000" if default is None and "arrow" in name else default)
+
+    # The stage gets as far as its column.
+    with pytest.raises(InterruptedError):
+        corpus_pipeline.pseudonymise(Setting, Docs(), "")
+
+
+def test_bytes_that_are_no_text_stay(spark):
+    raw = b"caf\xe9 \xff 2024-03-05 \xc3"
+    docs = spark.createDataFrame([(1, bytearray(raw)), (2, None)], "doc_id long, raw binary")
+    found = docs.select("doc_id", pii.pseudonymise(F.col("raw").cast("string"), KEY).alias("x"))
+    rows = {r.doc_id: r for r in found.select("doc_id", F.col("x.text").cast("binary").alias("text"), "x.n_values").collect()}
+    assert bytes(rows[1].text) == pii.replace(raw, KEY)[0] != raw and rows[1].n_values == 1
+    assert rows[2].text is None and rows[2].n_values == 0
