@@ -116,6 +116,17 @@ def test_bound_on_labelled_rows_is_kept_and_reported(spark):
     assert classifier.fit_classifier(table, "id").n_rows == 60
 
 
+def test_every_labelled_row_enters_a_fit_however_many_there_are(spark, monkeypatch):
+    table = frame(spark, ROWS)
+    # Whatever a count may say, no rows are chosen.
+    monkeypatch.setattr(type(table), "count", lambda self: 10**9)
+    monkeypatch.setattr(split, "stratified_split", lambda *a, **k: pytest.fail("only a part of the rows is used"))
+    part = classifier.prepare(table, "id")
+    monkeypatch.undo()
+    assert part.rows.count() == len(ROWS)
+    assert classifier.fit_classifier(table, "id").n_rows == len(ROWS)
+
+
 def test_labels_are_required(spark):
     with pytest.raises(ValueError, match="two labels"):
         classifier.fit_classifier(frame(spark, ROWS[:2]), "id")
