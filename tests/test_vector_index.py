@@ -67,3 +67,24 @@ def test_level_rows_are_cut_before_they_become_python_objects(monkeypatch):
     assert [[k for _, (k,) in held] for held in search.best] == [list(range(5))] * 2
     # At most n held ones and n new ones meet.
     assert max(seen) <= 10
+
+
+def test_rows_without_main_axes_and_zero_queries():
+    # Bounds settle little here; a zero query, level with every row, was followed to the end with each.
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(5000, 16))
+    rows[::9] = 0
+    rows[4000:4040] = rows[1]  # level with a row of an earlier batch
+    units = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+    queries = np.vstack([units[1:40], np.zeros((300, 16))])
+    order = rng.permutation(5000)  # batches come in any order, their rows by key
+    search = BoundedSearch(queries, 5)
+    for part in np.split(order, 10):
+        part = np.sort(part)
+        search.offer(units[part], [(int(i), "x") for i in part])
+    scores = np.round(queries @ units.T, 9) + 0.0
+    for query, held in enumerate(search.best):
+        best = np.argsort(-scores[query], kind="stable")[:5]
+        assert [k[0] for _, k in held] == best.tolist()
+        assert np.allclose([-s for s, _ in held], scores[query][best], atol=1e-9)
+    assert search.possible == int(queries.any(axis=1).sum()) * 5000

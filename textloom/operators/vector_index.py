@@ -26,10 +26,11 @@ from textloom.session import materialize
 
 # Shares of the components at which a pair is looked at again.
 LEVELS = (1 / 4, 1 / 2, 3 / 4)
-# Below this share of a tile its pairs are followed one by one, above it as a product of matrices.
-_FEW = 0.15
+# Below this share of a tile its pairs are followed one by one, above it as a product of matrices; and
+# tiles without the levels at most, after one that these did not thin out so far.
+_FEW, _WAIT = 0.02, 32
 # Pairs at once, and rows of the first tile of a task.
-_TILE, _FIRST = 1 << 20, 256
+_TILE, _FIRST = 1 << 20, 64
 # Queries that are searched for together: with the first tile, they set what a task holds.
 _TOGETHER = 4096
 # What rounding may cost a bound; similarities are compared to SIMILARITY_DIGITS places.
@@ -49,68 +50,102 @@ def level_ends(size: int) -> list[int]:
 class BoundedSearch:
     """The best rows of a block of queries, unit vectors along the axes of the index.
 
-    ``scored`` counts the pairs that were followed to the last component, of ``possible`` ones;
-    ``multiplied`` counts the products of components.
+    Pairs are bounded in single precision, with room for its rounding; those that stay are multiplied
+    in double precision, which alone decides. ``scored`` counts the pairs that were followed to the
+    last component, of ``possible`` ones; ``multiplied`` counts the products of components.
     """
 
     def __init__(self, queries: np.ndarray, top_n: int):
-        self.queries, self.top_n = queries, top_n
+        self.top_n, self.n_queries = top_n, len(queries)
         self.ends = level_ends(queries.shape[1])
-        self.rest = [np.sqrt((queries[:, e:] ** 2).sum(axis=1)) for e in self.ends]
-        self.least = np.full(len(queries), -np.inf)
-        # Of every query: (similarity, key), at most top_n, best first.
-        self.best: list[list[tuple[float, tuple]]] = [[] for _ in queries]
+        # A zero vector is level with every row: the first rows by key are its best ones.
+        self.live = np.flatnonzero(queries.any(axis=1))
+        self.firsts: list[tuple] = []
+        self.queries = queries[self.live]
+        self.coarse = self.queries.astype(np.float32)
+        self.rest = [np.sqrt((self.queries[:, e:] ** 2).sum(axis=1)).astype(np.float32) for e in self.ends]
+        self.slack = _SLACK + (queries.shape[1] + 8) * 2.0**-22
+        self.least = np.full(len(self.live), -np.inf)
+        # Of every query its best rows so far, best first: similarities and keys.
+        self.top = np.full((len(self.live), top_n), -np.inf)
+        self.keys = np.empty((len(self.live), top_n), object)
         self.multiplied = self.scored = self.possible = 0
-        self._step = _FIRST
+        self._step, self._plain, self._wait = _FIRST, 0, 0
 
-    def offer(self, rows: np.ndarray, keys: list[tuple]) -> None:
+    @property
+    def best(self) -> list[list[tuple[float, tuple]]]:
+        """Of every query: (minus similarity, key), at most top_n, best first."""
+        out = [[(-0.0, key) for key in self.firsts]] * self.n_queries
+        for i, scores, keys in zip(self.live.tolist(), self.top.tolist(), self.keys.tolist(), strict=True):
+            out[i] = [(-s, key) for s, key in zip(scores, keys, strict=True) if key is not None]
+        return out
+
+    def offer(self, rows: np.ndarray, keys: list[tuple] | np.ndarray) -> None:
         """Rows in the order of their keys."""
+        keys = keys if isinstance(keys, np.ndarray) else np.fromiter(keys, object, len(keys))
+        if len(self.live) < self.n_queries:
+            self.firsts = sorted(self.firsts + keys[: self.top_n].tolist())[: self.top_n]
         largest, start = max(_FIRST, _TILE // max(1, len(self.queries))), 0
-        while start < len(rows):
+        while start < len(rows) and len(self.live):
             self._tile(rows[start : start + self._step], keys[start : start + self._step])
             # A small tile first, which raises what the others have to reach.
             start, self._step = start + self._step, min(2 * self._step, largest)
 
-    def _tile(self, rows: np.ndarray, keys: list[tuple]) -> None:
-        size = rows.shape[1]
+    def _tile(self, rows: np.ndarray, keys: np.ndarray) -> None:
+        size, coarse = rows.shape[1], rows.astype(np.float32)
         self.possible += len(self.queries) * len(rows)
-        partial, pairs, before = 0.0, None, 0
-        for end, rest in zip(self.ends, self.rest, strict=True):
-            part, behind = slice(before, end), np.sqrt((rows[:, end:] ** 2).sum(axis=1))
-            if pairs is None:
-                partial = partial + self.queries[:, part] @ rows[:, part].T
-                self.multiplied += partial.size * (end - before)
-                stays = partial + np.outer(rest, behind) >= (self.least - _SLACK)[:, None]
-                if stays.sum() < _FEW * stays.size or end == size:
-                    self.scored += stays.size if end == size else 0
-                    pairs = np.nonzero(stays)
-                    partial = partial[pairs]
-            else:
-                q, r = pairs
-                self.scored += len(q) if end == size else 0
-                sums = np.empty(len(q))
-                for at in range(0, len(q), 1 << 16):
-                    cut = slice(at, at + (1 << 16))
-                    sums[cut] = np.einsum("ij,ij->i", self.queries[q[cut], part], rows[r[cut], part])
-                partial = partial + sums
-                self.multiplied += len(q) * (end - before)
-                stays = partial + rest[q] * behind[r] >= self.least[q] - _SLACK
-                pairs, partial = (q[stays], r[stays]), partial[stays]
+        floor = (self.least - self.slack).astype(np.float32)[:, None]
+        known = np.isfinite(self.least).all()
+        levels = list(zip(self.ends, self.rest, strict=True))
+        tried, levels = not self._plain, levels[-1:] if self._plain else levels
+        self._plain = max(0, self._plain - 1)
+        partial, before = None, 0
+        for end, rest in levels:
+            more = self.coarse[:, before:end] @ coarse[:, before:end].T
+            partial = more if partial is None else np.add(partial, more, out=partial)
+            self.multiplied += more.size * (end - before)
+            behind = np.sqrt((rows[:, end:] ** 2).sum(axis=1)).astype(np.float32)
+            stays = (partial + np.outer(rest, behind) if end < size else partial) >= floor
             before = end
-        self._keep(*pairs, np.round(partial, SIMILARITY_DIGITS) + 0.0, keys)
-
-    def _keep(self, q: np.ndarray, r: np.ndarray, scores: np.ndarray, keys: list[tuple]) -> None:
+            if np.count_nonzero(stays) < _FEW * stays.size:
+                break
+        if tried and known:
+            # Where the bounds settle little, whole products are cheaper; they are tried again later.
+            self._wait = min(_WAIT, max(1, 2 * self._wait)) if before == size else 0
+            self._plain = self._wait
+        q, r = np.divmod(np.flatnonzero(stays), len(rows))
+        self.scored += stays.size if before == size else len(q)
+        self.multiplied += len(q) * size
+        scores = np.empty(len(q))
+        for at in range(0, len(q), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            scores[cut] = np.einsum("ij,ij->i", self.queries[q[cut]], rows[r[cut]])
+        self._keep(q, r, np.round(scores, SIMILARITY_DIGITS) + 0.0, keys)
+
+    def _keep(self, q: np.ndarray, r: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
         good = scores >= self.least[q]
         q, r, scores = q[good], r[good], scores[good]
-        for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
-            if len(part):
-                query = q[part[0]]
-                # However many rows are level, the first n of them by key are enough.
-                part = part[np.argsort(-scores[part], kind="stable")[: self.top_n]]
-                new = [(-s, keys[i]) for s, i in zip(scores[part].tolist(), r[part].tolist(), strict=True)]
-                held = self.best[query] = sorted(self.best[query] + new)[: self.top_n]
-                if len(held) == self.top_n:
-                    self.least[query] = -held[-1][0]
+        if not len(q):
+            return
+        order = np.lexsort((r, -scores, q))
+        q, r, scores = q[order], r[order], scores[order]
+        touched, starts, line = np.unique(q, return_index=True, return_inverse=True)
+        place = np.arange(len(q)) - starts[line]
+        # However many rows are level, the first n of them by key are enough.
+        good = place < self.top_n
+        new, names = np.full((len(touched), self.top_n), -np.inf), np.empty((len(touched), self.top_n), object)
+        new[line[good], place[good]], names[line[good], place[good]] = scores[good], keys[r[good]]
+        both, names = np.hstack([self.top[touched], new]), np.hstack([self.keys[touched], names])
+        order = np.argsort(-both, axis=1, kind="stable")
+        both, names = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+        # Held and new rows that are level meet in the order of their keys.
+        level = (both[:, 1:] == both[:, :-1]) & np.isfinite(both[:, 1:]) & ((order[:, 1:] < self.top_n) != (order[:, :-1] < self.top_n))
+        for i in np.flatnonzero(level.any(axis=1)):
+            some = np.isfinite(both[i])
+            held = sorted([*zip((-both[i, some]).tolist(), names[i, some].tolist(), strict=True)])
+            both[i, some], names[i, some] = [-s for s, _ in held], np.fromiter((key for _, key in held), object, len(held))
+        self.top[touched], self.keys[touched] = both[:, : self.top_n], names[:, : self.top_n]
+        self.least[touched] = self.top[touched, -1]
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -176,7 +211,7 @@ class VectorIndex:
             for batch in batches:
                 if len(batch) and len(turned):
                     batch = batch.sort_by([(name, "ascending") for name in KEY])
-                    keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                    keys = np.fromiter(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), object, len(batch))
                     rows = _matrix(batch.column(2))
                     for search in searches:
                         search.offer(rows, keys)
